@@ -107,7 +107,7 @@ class Spans:
 
     def __init__(self, codes: np.ndarray):
         n = len(codes)
-        powers, self.inverse = _powers(1 << max(16, int(n).bit_length()))
+        powers, self.inverse = _powers(1 << max(21, int(n).bit_length()))
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers[:n], out=self.sums[1:])
 
@@ -115,6 +115,18 @@ class Spans:
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
 
 
+def slice_hashes(codes: np.ndarray, starts: np.ndarray, lens: np.ndarray, block: int = 1_500_000) -> np.ndarray:
+    """Hashes of slices in rising order of their starts, worked off in blocks of codes."""
+    out, lo = np.empty(len(starts), np.uint64), 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + block, "right")))
+        base, part = starts[lo], slice(lo, hi)
+        ends = starts[part] + lens[part]
+        out[part] = Spans(codes[base : ends.max()]).hash(starts[part] - base, ends - base)
+        lo = hi
+    return out
+
+
 # --- Arrow -----------------------------------------------------------------------------------
 
 

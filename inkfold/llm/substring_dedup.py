@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from inkfold.llm.common import SPACE, Spans, ids_out, ragged_equal, ragged_index, word_bounds
+from inkfold.llm.common import SPACE, Spans, ids_out, ragged_equal, ragged_index, slice_hashes, word_bounds
 from inkfold.llm.superkmers import covered, find, groups, places, stretches_of, super_kmers
 
 
@@ -57,7 +57,7 @@ def remove_repeats(docs: DataFrame, k: int = 20, m: int = 3) -> DataFrame:
         windows = np.diff(first) - k + 1
         word, owner = ragged_index(first[:-1], windows), np.repeat(np.arange(len(at)), windows)
         a, b = starts[word], ends[word + k - 1]
-        member, head = groups(Spans(data).hash(a, b))
+        member, head = groups(slice_hashes(data, a, b - a))
         if not len(member):
             return [np.zeros(0, np.int64)] * 3
         size = np.diff(np.append(head, len(member)))

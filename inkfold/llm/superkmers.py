@@ -20,10 +20,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from inkfold.llm.common import Spans, chunks, id_and_text, mix, ragged_equal, ragged_index, text_arrays, text_bytes
+from inkfold.llm.common import chunks, id_and_text, mix, ragged_equal, ragged_index, slice_hashes, text_arrays, text_bytes
 
-FLUSH = 16_000_000  # bytes of text whose super-k-mers are folded and sent together
-BUCKET = 12_000_000  # bytes of packed strings that a bucket is to hold
+FLUSH = 12_000_000  # bytes of text whose super-k-mers are folded and sent together
+BUCKET = 6_000_000  # bytes of packed strings that a bucket is to hold
 PART = 8_000_000  # bytes of text whose results are worked out together
 BLOCK = "bucket int, kind int, payload binary"
 STRINGS, REPEATS, TEXTS = 0, 1, 2
@@ -163,7 +163,7 @@ def find(docs: DataFrame, cut: Callable, search: Callable, finish: Callable, sch
             ids, data, off = text_arrays(batch)
             for lo, hi in chunks(off, 2_000_000):
                 buf, at, lens, text, start, end, low = cut(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                held.append((buf, at, lens, ids[lo:hi][text], start, end, low, Spans(buf).hash(at, at + lens)))
+                held.append((buf, at, lens, ids[lo:hi][text], start, end, low, slice_hashes(buf, at, lens)))
                 size += len(buf)
                 if size >= FLUSH:
                     yield block(send(held))
@@ -181,7 +181,7 @@ def find(docs: DataFrame, cut: Callable, search: Callable, finish: Callable, sch
             del strings
             start, lens = start.astype(np.int64), lens.astype(np.int64)
             at = np.cumsum(lens) - lens
-            again = fold(buf, at, lens, Spans(buf).hash(at, at + lens), lambda i: later(doc[i], start[i]))
+            again = fold(buf, at, lens, slice_hashes(buf, at, lens), lambda i: later(doc[i], start[i]))
             units = cut.units(buf, at, lens)
             out.append([doc[again], start[again], start[again] + units[again]])
             left = ~again
