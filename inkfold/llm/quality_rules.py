@@ -25,21 +25,33 @@ def once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def packed_length(text: Column) -> Column:
+    """Code points that are not blank."""
+    for blank in BLANKS:
+        text = F.replace(text, F.lit(blank), F.lit(""))
+    return F.length(text)
+
+
+def how_many(text: Column, chars: str) -> Column:
+    return F.regexp_count(text, F.lit("[" + chars + "]"))
+
+
+def has_word(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANKS)) != ""
 
 
 def line_fails(line: Column) -> Column:
-    chars = F.length(without(line, BLANKS))
     n_words = F.size(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    separators = chars - F.length(without(line, BLANKS + SEPARATORS))
-    symbols = chars - F.length(without(line, BLANKS + SYMBOLS))
-    return (
-        ((separators >= 3) & (separators * 4 >= n_words))
-        | (symbols * 10 > chars)
-        | ((chars <= 200) & F.lower(line).rlike(BOILERPLATE))
-        | ((chars <= 24) & ~line.rlike(ENDS) & (n_words <= 2))
-    )
+
+    def judged(q: Column) -> Column:
+        return (
+            ((q["separators"] >= 3) & (q["separators"] * 4 >= n_words))
+            | (q["symbols"] * 10 > q["chars"])
+            | ((q["chars"] <= 200) & F.lower(line).rlike(BOILERPLATE))
+            | ((q["chars"] <= 24) & ~line.rlike(ENDS) & (n_words <= 2))
+        )
+
+    return once(F.struct(packed_length(line).alias("chars"), how_many(line, SEPARATORS).alias("separators"), how_many(line, SYMBOLS).alias("symbols")), judged)
 
 
 def repeated_words(words: Column) -> Column:
@@ -67,25 +79,28 @@ def assess(docs: DataFrame, least_words: int = 50, most_repeated: int = 50, most
 
     def measure(t: Column) -> Column:
         words = F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+        counted = once(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).cast("long").alias("n_repeat_words")))
         lines = F.split(t, "\n")
 
         def judged(ls: Column) -> Column:
-            full = F.filter(ls, lambda x: without(x, BLANKS) != "")
-            good = F.filter(ls, lambda x: (without(x, BLANKS) == "") | ~line_fails(x))
-            return F.struct((F.size(full) - F.size(F.array_distinct(full))).alias("n_dup_lines"), F.array_join(good, "\n").alias("clean"))
+            full = F.filter(ls, has_word)
+            good = F.filter(ls, lambda x: ~has_word(x) | ~line_fails(x))
+            return F.struct(once(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"), F.array_join(good, "\n").alias("clean"))
 
         return F.struct(
-            F.size(words).cast("long").alias("n_words"), F.length(without(t, BLANKS)).cast("long").alias("word_chars"), (F.length(t) - F.length(without(t, SYMBOLS))).cast("long").alias("n_symbols"),
-            repeated_words(words).cast("long").alias("n_repeat_words"), once(lines, judged).alias("lines"),
+            counted.alias("words"), how_many(t, SYMBOLS).cast("long").alias("n_symbols"), once(lines, judged).alias("lines"),
         )
 
     def verdict(q: Column) -> Column:
-        failed = (q["n_words"] < least_words) | (100 * q["n_repeat_words"] > most_repeated * q["n_words"])
-        left = F.length(without(q["lines"]["clean"], BLANKS))
-        lost = F.when(q["word_chars"] > 0, 1 - left / q["word_chars"]).otherwise(0.0)
-        return F.struct(
-            q["n_words"].alias("n_words"), q["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"), q["lines"]["n_dup_lines"].cast("long").alias("n_dup_lines"), q["n_repeat_words"].alias("n_repeat_words"),
-            failed.alias("base_failed"), (~failed & (lost <= most_lost)).alias("kept"), lost.alias("lost"), q["lines"]["clean"].alias("clean"),
-        )
+        n_words, n_repeated = q["words"]["n_words"], q["words"]["n_repeat_words"]
+        failed = (n_words < least_words) | (100 * n_repeated > most_repeated * n_words)
+
+        def told(lost: Column) -> Column:
+            return F.struct(
+                n_words.alias("n_words"), q["words"]["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"), q["lines"]["n_dup_lines"].cast("long").alias("n_dup_lines"), n_repeated.alias("n_repeat_words"),
+                failed.alias("base_failed"), (~failed & (lost <= most_lost)).alias("kept"), lost.alias("lost"), q["lines"]["clean"].alias("clean"),
+            )
+
+        return once(F.when(n_words > 0, 1 - packed_length(q["lines"]["clean"]) / q["words"]["word_chars"]).otherwise(0.0), told)
 
     return docs.withColumn("quality", once(once(text, measure), verdict))
