@@ -19,6 +19,7 @@ from inkfold.plans import search
 from inkfold.plans.catalog import Catalog, Column_, Relation, Table, inferred_schema
 from inkfold.plans.where import typed_aggregate, typed_list
 from inkfold.sources import documents as parse
+from inkfold.sources import zones
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -488,3 +489,30 @@ def _(spark, sf_dir):
 
     return change_events(read(spark, sf_dir, "events")).filter("doogat_type <> 'view'").select(F.col("doogat_id").alias("event_id"), "kind")
 
+
+
+# --- zones of files ---------------------------------------------------------------------------
+
+
+@query("PRS_01_zones", """SELECT doc_id AS id, 'id: ' || doc_id AS raw_frontmatter, md5(rtrim(replace(text, chr(13) || chr(10), chr(10)), chr(13))) AS body_md5, '- source:: ' || source AS reference_section FROM documents WHERE text IS NOT NULL AND source IS NOT NULL""")
+def zones_of_files(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").filter("text IS NOT NULL AND source IS NOT NULL")
+    content = F.concat(F.lit("---\nid: "), "doc_id", F.lit("\n---\n"), "text", F.lit("\n---\n- source:: "), "source", F.lit("\n"))
+    parts = docs.select(F.col("doc_id").alias("id"), zones.zones(content).alias("z"))
+    return parts.select("id", "z.raw_frontmatter", F.md5("z.body").alias("body_md5"), "z.reference_section")
+
+
+@query("PRS_02_frontmatter", """SELECT doc_id AS id, lang, n_chars FROM documents WHERE lang IS NOT NULL AND n_chars IS NOT NULL""")
+def frontmatter_of_files(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").filter("lang IS NOT NULL AND n_chars IS NOT NULL")
+    raw = F.concat(F.lit("id: "), "doc_id", F.lit("\nlang: '"), F.replace("lang", F.lit("'"), F.lit("''")), F.lit("'\nn_chars: "), "n_chars")
+    meta = docs.select(zones.frontmatter(raw, F.lit("x.md")).alias("m"))
+    return meta.select(F.col("m.id").cast("long").alias("id"), F.get_json_object("m.meta", "$.lang").alias("lang"), F.get_json_object("m.meta", "$.n_chars").cast("long").alias("n_chars"))
+
+
+@query("PRS_03_sections", """SELECT doc_id AS id, 'Lang ' || lang AS heading, 2 AS level, md5(rtrim(replace(text, chr(13) || chr(10), chr(10)), chr(13))) AS content_md5 FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL""")
+def sections_of_bodies(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").filter("text IS NOT NULL AND lang IS NOT NULL")
+    body = F.concat(F.lit("## Lang "), "lang", F.lit(" ##\n"), "text", F.lit("\n"))
+    found = docs.select(F.col("doc_id").alias("id"), F.explode(zones.sections(body)).alias("s"))
+    return found.select("id", "s.heading", F.col("s.level").cast("int").alias("level"), F.md5("s.content").alias("content_md5"))
