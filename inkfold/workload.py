@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfold.functions import scalars
+from inkfold.functions.snippets import snippet
 from inkfold.operators import graph, merge
 from inkfold.plans import search
 from inkfold.plans.catalog import Catalog, Column_, Relation, Table, inferred_schema
@@ -516,3 +517,10 @@ def sections_of_bodies(spark, sf_dir):
     body = F.concat(F.lit("## Lang "), "lang", F.lit(" ##\n"), "text", F.lit("\n"))
     found = docs.select(F.col("doc_id").alias("id"), F.explode(zones.sections(body)).alias("s"))
     return found.select("id", "s.heading", F.col("s.level").cast("int").alias("level"), F.md5("s.content").alias("content_md5"))
+
+
+@query("SRCH_08_snippet")
+def snippets_of_hits(spark, sf_dir):
+    tree = search.parse("idiot OR clown")
+    found = corpus(spark, sf_dir).filter(search.matches(tree, search.words(F.concat_ws(" ", "title", "body")), {}))
+    return found.select("id", snippet(F.col("body"), search.terms_of(tree)).alias("snippet"))
