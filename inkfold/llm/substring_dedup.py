@@ -6,8 +6,9 @@ one packed string to its bucket; there equal windows are brought together by a s
 byte by byte, and all but the earliest are repeats. Windows are judged on the input.
 
 Words are maximal runs of anything but space, tab, line feed, vertical tab, form feed and carriage
-return. Null text: no words. Texts under 20 words: nothing is removed. Rows that repeat a doc_id with
-the same text: the same places, so neither removes from the other. A null doc_id orders last. Other columns are ignored.
+return. Null text: no words. Texts under 20 words: nothing is removed. Rows that share a
+doc_id, or have none: read as places of one document, so of a window the furthest left stays, and at the same place
+in two rows it stays in both; rows with the same text have the same result. A null doc_id orders last. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from inkfold.llm.common import SPACE, Spans, ids_out, ragged_equal, ragged_index, slice_hashes, word_bounds
-from inkfold.llm.superkmers import covered, find, groups, places, stretches_of, super_kmers
+from inkfold.llm.superkmers import covered, find, groups, places, super_kmers
 
 
 def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,13 +74,13 @@ def remove_repeats(docs: DataFrame, k: int = 20, m: int = 3) -> DataFrame:
         edge[1:] = (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])
         lo, hi = hit[edge], hit[np.append(edge[1:], True)]
         own = owner[lo]
-        return doc[own], start[own] + word[lo] - first[own], start[own] + word[hi] - first[own] + k
+        return own, start[own] + word[lo] - first[own], start[own] + word[hi] - first[own] + k
 
-    def finish(ids, data, off, doc, start, end):
+    def finish(ids, data, off, stretches):
         starts, ends, first = word_bounds(data, off, ~SPACE)
         buf, a, b = joined(data, starts, ends)
         out = []
-        for (s, e), lo, hi in zip(stretches_of(ids, doc, start, end), first[:-1].tolist(), first[1:].tolist(), strict=True):
+        for (s, e), lo, hi in zip(stretches, first[:-1].tolist(), first[1:].tolist(), strict=True):
             gone = covered(hi - lo, s, e)
             keep = np.flatnonzero(~gone) + lo
             if len(keep) == hi - lo:

@@ -7,8 +7,8 @@ refined by sorting on (own bucket, bucket of the suffix some bytes later), and t
 are the keys of the next round, until suffixes of a bucket agree in 50 bytes. Buckets of one
 suffix drop out between rounds. What remains is compared byte by byte.
 
-Null text: as empty, nothing to remove. Texts under 50 bytes: nothing is removed. Repeated rows
-with the same doc_id: neither removes from the other. A null doc_id orders last. Other columns are ignored.
+Null text: as empty, nothing to remove. Texts under 50 bytes: nothing is removed. Rows that
+share a doc_id, whatever their texts, or have none: neither removes from the other. A null doc_id orders last. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from inkfold.llm.common import ids_out, mix, ragged_index
-from inkfold.llm.superkmers import covered, find, groups, stretches_of, super_kmers
+from inkfold.llm.superkmers import covered, find, groups, super_kmers
 
 Q = 16
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -105,11 +105,11 @@ def remove_repeats(docs: DataFrame, k: int = 50, m: int = 8) -> DataFrame:
         edge[1:] = (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])
         a, b = hit[edge], hit[np.append(edge[1:], True)]
         own = owner[a]
-        return doc[own], start[own] + pos[a] - at[own], start[own] + pos[b] - at[own] + k
+        return own, start[own] + pos[a] - at[own], start[own] + pos[b] - at[own] + k
 
-    def finish(ids, data, off, doc, start, end):
+    def finish(ids, data, off, stretches):
         out = []
-        for (s, e), lo, hi in zip(stretches_of(ids, doc, start, end), off[:-1].tolist(), off[1:].tolist(), strict=True):
+        for (s, e), lo, hi in zip(stretches, off[:-1].tolist(), off[1:].tolist(), strict=True):
             text = data[lo:hi]
             gone = covered(hi - lo, s, e)
             edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))

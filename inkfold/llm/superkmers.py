@@ -13,7 +13,9 @@ many as the input's bytes ask for, so a task's memory doesn't grow with the inpu
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -129,14 +131,23 @@ def block(rows: list[tuple[int, int, bytes]], name: str = "bucket") -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], [name, "kind", "payload"])
 
 
-def repeats_out(doc: np.ndarray, start: np.ndarray, end: np.ndarray, n_parts: int) -> list[tuple[int, int, bytes]]:
-    return [(p, REPEATS, dump(doc[i], start[i], end[i])) for p, i in by_number(spread(doc, n_parts))]
+def tags(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """31 bits of each text, which tell rows with one doc_id and different texts apart."""
+    return np.array([zlib.crc32(data[lo:hi]) >> 1 for lo, hi in pairwise(off.tolist())], np.int32)
+
+
+def part_of(doc: np.ndarray, tag: np.ndarray, n: int) -> np.ndarray:
+    return spread(doc.view(np.uint64) ^ (tag.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), n)
+
+
+def repeats_out(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray, n_parts: int) -> list[tuple[int, int, bytes]]:
+    return [(p, REPEATS, dump(doc[i], tag[i], start[i], end[i])) for p, i in by_number(part_of(doc, tag, n_parts))]
 
 
 def find(docs: DataFrame, cut: Callable, search: Callable, finish: Callable, schema: str) -> DataFrame:
     """cut(data, off) -> buf, at, lens, text, start, end, minimiser of super-k-mers (start, end: units of the text);
-    search(buf, at, lens, doc, start) -> doc, start, end of repeated stretches;
-    finish(ids, data, off, doc, start, end) -> rows of the result. cut.later: rank of occurrences, as fold() takes it."""
+    search(buf, at, lens, doc, start) -> string (its index), start, end of repeated stretches;
+    finish(ids, data, off, stretches) -> rows of the result, stretches being (starts, ends) for each text. cut.later: rank of occurrences, as fold() takes it."""
     docs = id_and_text(docs)
     total = text_bytes(docs)
     n_buckets, n_parts = max(1, -(-total * 10 // (3 * BUCKET))), max(1, -(-total // PART))
@@ -146,14 +157,14 @@ def find(docs: DataFrame, cut: Callable, search: Callable, finish: Callable, sch
         base = np.cumsum([0, *[len(x[0]) for x in held]])
         buf = np.concatenate([x[0] for x in held])
         at = np.concatenate([x[1] + b for x, b in zip(held, base, strict=False)])
-        lens, doc, start, end, low, keys = (np.concatenate([x[k] for x in held]) for k in range(2, 8))
+        lens, doc, tag, start, end, low, keys = (np.concatenate([x[k] for x in held]) for k in range(2, 9))
         again = fold(buf, at, lens, keys, lambda i: later(doc[i], start[i]))
         gone = np.flatnonzero(again)  # settled here; they only pass through some bucket on their way to the texts
-        rows = [(int(spread(doc[gone[:1]] + start[gone[:1]], n_buckets)[0]), REPEATS, dump(doc[gone], start[gone], end[gone]))] if len(gone) else []
+        rows = [(int(spread(doc[gone[:1]] + start[gone[:1]], n_buckets)[0]), REPEATS, dump(doc[gone], tag[gone], start[gone], end[gone]))] if len(gone) else []
         keep = np.flatnonzero(~again)
         for bucket, i in by_number(spread(low[keep], n_buckets)):
             i = keep[i]
-            rows.append((bucket, STRINGS, dump(doc[i], start[i].astype(np.int32), lens[i].astype(np.int32), buf[ragged_index(at[i], lens[i])])))
+            rows.append((bucket, STRINGS, dump(doc[i], tag[i], start[i].astype(np.int32), lens[i].astype(np.int32), buf[ragged_index(at[i], lens[i])])))
         return rows
 
     def cut_all(batches):
@@ -161,9 +172,10 @@ def find(docs: DataFrame, cut: Callable, search: Callable, finish: Callable, sch
         size = 0
         for batch in batches:
             ids, data, off = text_arrays(batch)
+            tag = tags(data, off)
             for lo, hi in chunks(off, 2_000_000):
                 buf, at, lens, text, start, end, low = cut(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                held.append((buf, at, lens, ids[lo:hi][text], start, end, low, slice_hashes(buf, at, lens)))
+                held.append((buf, at, lens, ids[lo:hi][text], tag[lo:hi][text], start, end, low, slice_hashes(buf, at, lens)))
                 size += len(buf)
                 if size >= FLUSH:
                     yield block(send(held))
@@ -177,18 +189,19 @@ def find(docs: DataFrame, cut: Callable, search: Callable, finish: Callable, sch
         strings = [load(p) for k, p in zip(kinds, payloads, strict=True) if k == STRINGS]
         del payloads, table
         if strings:
-            doc, start, lens, buf = (np.concatenate([x[k] for x in strings]) for k in range(4))
+            doc, tag, start, lens, buf = (np.concatenate([x[k] for x in strings]) for k in range(5))
             del strings
             start, lens = start.astype(np.int64), lens.astype(np.int64)
             at = np.cumsum(lens) - lens
             again = fold(buf, at, lens, slice_hashes(buf, at, lens), lambda i: later(doc[i], start[i]))
             units = cut.units(buf, at, lens)
-            out.append([doc[again], start[again], start[again] + units[again]])
-            left = ~again
-            out.append(list(search(buf, at[left], lens[left], doc[left], start[left])))
+            out.append([doc[again], tag[again], start[again], start[again] + units[again]])
+            left = np.flatnonzero(~again)
+            own, first, end = search(buf, at[left], lens[left], doc[left], start[left])
+            out.append([doc[left[own]], tag[left[own]], first, end])
         if not out:
             return pa.Table.from_batches([block([], "part")])
-        return pa.Table.from_batches([block(repeats_out(*(np.concatenate([x[k] for x in out]) for k in range(3)), n_parts), "part")])
+        return pa.Table.from_batches([block(repeats_out(*(np.concatenate([x[k] for x in out]) for k in range(4)), n_parts), "part")])
 
     def parts_of(batches):
         held, size = [], 0
@@ -198,7 +211,7 @@ def find(docs: DataFrame, cut: Callable, search: Callable, finish: Callable, sch
             data = np.concatenate([x[1] for x in held])
             lens = np.concatenate([np.diff(x[2]) for x in held])
             off = np.cumsum(lens) - lens
-            return block([(p, TEXTS, dump(ids[i], lens[i], data[ragged_index(off[i], lens[i])])) for p, i in by_number(spread(ids, n_parts))], "part")
+            return block([(p, TEXTS, dump(ids[i], lens[i], data[ragged_index(off[i], lens[i])])) for p, i in by_number(part_of(ids, tags(data, np.append(off, len(data))), n_parts))], "part")
 
         for batch in batches:
             held.append(text_arrays(batch))
@@ -215,8 +228,9 @@ def find(docs: DataFrame, cut: Callable, search: Callable, finish: Callable, sch
         found = [load(p) for k, p in zip(kinds, payloads, strict=True) if k == REPEATS]
         del payloads, table
         ids, lens, data = (np.concatenate([x[k] for x in texts]) for k in range(3)) if texts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))
-        doc, start, end = (np.concatenate([x[k] for x in found]) for k in range(3)) if found else [np.zeros(0, np.int64)] * 3
-        return finish(ids, data, np.concatenate([[0], np.cumsum(lens)]), doc, start, end)
+        doc, tag, start, end = (np.concatenate([x[k] for x in found]) for k in range(4)) if found else [np.zeros(0, np.int64)] * 4
+        off = np.concatenate([[0], np.cumsum(lens)])
+        return finish(ids, data, off, stretches_of(ids, tags(data, off), doc, tag, start, end))
 
     part = "part int, kind int, payload binary"
     strings = docs.mapInArrow(cut_all, BLOCK)
@@ -232,9 +246,12 @@ def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
-def stretches_of(ids: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray):
-    """For each id its stretches."""
-    order = np.argsort(doc, kind="stable")
-    doc, start, end = doc[order], start[order], end[order]
-    for lo, hi in zip(np.searchsorted(doc, ids, "left").tolist(), np.searchsorted(doc, ids, "right").tolist(), strict=True):
+def stretches_of(ids: np.ndarray, own: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """For each text, known by its id and its own tag, its stretches."""
+    _, number = np.unique(np.concatenate([ids, doc]), return_inverse=True)
+    number = (number.astype(np.int64) << 31) | np.concatenate([own, tag]).astype(np.int64)
+    text, key = number[: len(ids)], number[len(ids) :]
+    order = np.argsort(key, kind="stable")
+    key, start, end = key[order], start[order], end[order]
+    for lo, hi in zip(np.searchsorted(key, text, "left").tolist(), np.searchsorted(key, text, "right").tolist(), strict=True):
         yield start[lo:hi], end[lo:hi]
