@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -80,4 +80,4 @@ def nearest_name(docs: DataFrame, target: str) -> DataFrame:
     """A wikilink's document: path, id, or the shortest path that ends so."""
     rank = F.when(F.col("path") == target, 1).when(F.col("id") == target, 2).when(F.col("path").endswith(f"/{target}.md"), 3)
     found = docs.withColumn("_rank", rank).filter("_rank IS NOT NULL")
-    return found.withColumn("_nth", F.row_number().over(Window.orderBy("_rank", F.length("path"), "path"))).filter("_nth = 1").drop("_rank", "_nth")
+    return found.orderBy("_rank", F.length("path"), "path").limit(1).drop("_rank")

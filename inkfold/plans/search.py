@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkfold.functions.stemming import stem, stems
+
 
 class SearchError(ValueError):
     """A query that can't be searched for."""
@@ -146,6 +148,18 @@ def terms_of(tree) -> list[str]:
     return []
 
 
+def stemmed(tree):
+    """The tree with each word of a term replaced by its stem; fields stay."""
+    match tree:
+        case Term(text, phrase):
+            return Term(" ".join(stem(w) for w in query_words(text)), phrase)
+        case Not(item):
+            return Not(stemmed(item))
+        case Group(kind, items):
+            return Group(kind, tuple(stemmed(i) for i in items))
+    return tree
+
+
 def matches(tree, text: Column, fields: dict[str, Column]) -> Column:
     """Whether a row matches. text: its words; fields: arrays (exact) or texts (contains) by name."""
     match tree:
@@ -171,11 +185,13 @@ def occurrences(text: Column, word: str) -> Column:
     return F.size(F.filter(text, lambda w: w == word))
 
 
-def search(docs: DataFrame, query: str, fields: dict[str, Column], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """id, title, rank of matching documents, best (least) first. One pass counts lengths and term
+def search(docs: DataFrame, query: str, fields: dict[str, Column], k1: float = 1.2, b: float = 0.75, stemming: bool = False) -> DataFrame:
+    """id, title, rank of matching documents, best (least) first; with stemming, words match whatever their endings. One pass counts lengths and term
     frequencies, one scores; nothing is shuffled but the final order."""
-    tree = parse(query)
-    rows = docs.withColumn("_words", words(F.concat_ws(" ", "title", "body")))
+    tree, text = parse(query), words(F.concat_ws(" ", "title", "body"))
+    if stemming:
+        tree, text = stemmed(tree), stems(text)
+    rows = docs.withColumn("_words", text)
     terms = terms_of(tree)
     stats = rows.agg(F.count("*").alias("n"), F.avg(F.size("_words")).alias("len"), *(F.count_if(F.array_contains("_words", t)).alias(f"df{i}") for i, t in enumerate(terms))).first()
     hits = rows.filter(matches(tree, F.col("_words"), fields))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from inkfold.functions import scalars
 from inkfold.functions.snippets import snippet
-from inkfold.operators import graph, merge
+from inkfold.operators import fixers, graph, merge
 from inkfold.plans import search
 from inkfold.plans.catalog import Catalog, Column_, Relation, Table, inferred_schema
 from inkfold.plans.where import typed_aggregate, typed_list
@@ -524,3 +524,37 @@ def snippets_of_hits(spark, sf_dir):
     tree = search.parse("idiot OR clown")
     found = corpus(spark, sf_dir).filter(search.matches(tree, search.words(F.concat_ws(" ", "title", "body")), {}))
     return found.select("id", snippet(F.col("body"), search.terms_of(tree)).alias("snippet"))
+
+
+# --- stems and consistency fixes --------------------------------------------------------------
+
+
+@query("SRCH_06_stemmed")
+def stemmed_hits(spark, sf_dir):
+    return search.search(corpus(spark, sf_dir), "idiots OR clowning", {}, stemming=True)
+
+
+FIX_SQL = """WITH d AS (SELECT cast(doc_id AS VARCHAR) AS id, doc_id % 4 AS k FROM documents)
+SELECT id, 'cross_zone' AS fix, 'error' AS severity, 'dueDate' AS detail FROM d WHERE k = 0
+UNION ALL SELECT id, 'default', 'warning', 'type=note' FROM d WHERE k = 1 UNION ALL SELECT id, 'default', 'warning', 'status=open' FROM d
+UNION ALL SELECT id, 'title_derived', 'warning', 'Note ' || id FROM d WHERE k = 2 UNION ALL SELECT id, 'tags_hash', 'info', '#b' FROM d
+UNION ALL SELECT id, 'tags_dedup', 'info', 'B' FROM d UNION ALL SELECT id, 'tags_sort', 'info', '' FROM d
+UNION ALL SELECT id, 'title_trimmed', 'info', 'draft ' || id FROM d WHERE k <> 2 UNION ALL SELECT id, 'title_capital', 'info', 'draft ' || id FROM d WHERE k <> 2
+UNION ALL SELECT id, 'key_kebab', 'info', 'dueDate' FROM d WHERE k = 0"""
+
+
+@query("FIX_01_08_consistency", FIX_SQL)
+def consistency(spark, sf_dir):
+    k, key = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    due = k == 0
+    docs = read(spark, sf_dir, "documents").select(
+        key.alias("id"), F.concat(F.lit("ddb/20240101000000-note-"), key, F.lit(".md")).alias("path"), F.when(k != 2, F.concat(F.lit(" draft "), key)).alias("title"), F.when(k != 1, "note").alias("type"),
+        F.array(F.lit("#b"), F.lit("B"), F.lit("a")).alias("tags"), F.when(due, F.create_map(F.lit("dueDate"), F.lit("x"))).alias("meta"), F.when(due, F.array(F.lit("dueDate"))).alias("inline_keys"), F.lit(None).cast("string").alias("h1"),
+    )
+    return fixers.fixes(docs, {"status": "open"})
+
+
+@query("FIX_02_03_tags", "SELECT cast(doc_id AS VARCHAR) AS id, 'a,b,' || lower(source) AS tags FROM documents WHERE source IS NOT NULL AND source > 'b'")
+def tags_put_right(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").filter("source IS NOT NULL AND source > 'b'")
+    return docs.select(F.col("doc_id").cast("string").alias("id"), F.array_join(fixers.fixed_tags(F.array(F.lower("source"), F.lit("#b"), F.lit("B"), F.lit("a"), F.lit("#A"))), ",").alias("tags"))
