@@ -6,8 +6,11 @@ expression that is too rare to tell scores alike in both. A text's score is a ri
 mean over its words of log P(toxic model) - log P(ordinary model). The models come from one half of
 the training rows and the function (an isotonic fit) from the other, weighted as the classes occur.
 
-Counts are of texts, not occurrences, in tables of 2^20 hashed entries. An expression is rare if fewer
-than `least_texts` of the texts, or than the share `least_share` of them, have it; those only count through the backoff. So the model's size is fixed whatever the corpus. `most_per_class` bounds the labelled rows that are
+Counts are of texts, not occurrences, exact for every word and pair of words (by 64-bit hashes of each word),
+and grow with the texts that are learnt from. An expression is rare if fewer
+than `least_texts` of the texts, or than the share `least_share` of them, have it; those only count through the backoff.
+The model is dealt out in slices of some half a million values, each a broadcast of its own, which a task takes one
+after the other for a block of words; a task holds one slice, however many there are. `most_per_class` bounds the labelled rows that are
 learnt from, the same number of each class; below the bound all rows of the rarer class are used.
 
 Words are runs of ASCII letters (lower-cased), digits and other characters beyond ASCII. Null or empty text:
@@ -19,123 +22,164 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import chunks, id_and_text, ids_out, mix, text_arrays
+from inkfold.llm.common import chunks, id_and_text, ids_out, materialize, mix, text_arrays
 from inkfold.llm.decontamination import words_of
-from inkfold.llm.superkmers import dump, load
 
-BITS = 20
-SLICES = 16
 CHUNK = 2_000_000
+BLOCK = 2_000_000
+ENTRIES = 1 << 19
+LEAST_BITS = 4
 DISCOUNT = 0.75
+OF_LEFT = np.uint64(0xA0761D6478BD642F)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def grams(data: np.ndarray, off: np.ndarray):
-    """Entries of words, entries of the bigrams that end in each word (-1 at a text's first word), first word of each text."""
+def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * np.uint64(0x9E3779B97F4A7C15) + right)
+
+
+def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of words, first word of each text (one more than texts)."""
     *_, first, words, _ = words_of(data, off)
-    one = (words >> np.uint64(64 - BITS)).astype(np.int64)
-    two = np.full(len(words), -1, np.int64)
-    if len(words) > 1:
-        two[1:] = (mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]) >> np.uint64(64 - BITS)).astype(np.int64)
-        two[first[:-1][first[:-1] < len(words)]] = -1
-    return one, two, first
+    return words, first
 
 
 class Model:
-    """Arrays by entry. uni, bi: counts of texts by class; left, right: the words of a bigram's entry."""
-
-    def __init__(self, uni: np.ndarray, bi: np.ndarray, left: np.ndarray, right: np.ndarray):
-        size = 1 << BITS
-        follows = np.bincount(right[bi.sum(0) > 0], minlength=size)  # of both classes together
-        shared = (follows + 0.5) / (follows.sum() + 0.5 * size)
-        total = uni.sum(1, keepdims=True)
-        types = (uni > 0).sum(1, keepdims=True)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            self.p = np.where(total > 0, np.maximum(uni - DISCOUNT, 0) / total + DISCOUNT * types / total * shared, shared).astype(np.float32)
-            context = np.stack([np.bincount(left, c, size) for c in bi])
-            kinds = np.stack([np.bincount(left[c > 0], minlength=size) for c in bi])
-            self.back = np.where(context > 0, DISCOUNT * kinds / context, 1).astype(np.float32)
-            self.seen = np.where(context[:, left] > 0, np.maximum(bi - DISCOUNT, 0) / context[:, left], 0).astype(np.float32)
-        self.left, self.right = left, right
-
-    def means(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        one, two, first = grams(data, off)
+    """log P(toxic) - log P(ordinary) of a text as a sum of values by key, in slices by the key's first bits.
+
+    A word has a value of its own and one as the left word of any bigram, a bigram what it differs by from its two words.
+    `base` is the value of a word that the model does not know. A slice is loaded when it is needed and then let go.
+    """
+
+    def __init__(self, base: float, bits: int, slices: dict[int, Broadcast]):
+        self.base, self.bits, self.slices = base, bits, slices
+
+    def values(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys))
+        part = (keys >> np.uint64(64 - self.bits)).astype(np.uint16 if self.bits <= 16 else np.uint32)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange((1 << self.bits) + 1))
+        for k, shared in self.slices.items():
+            rows = order[cuts[k] : cuts[k + 1]]
+            if not len(rows):
+                continue
+            known, value = shared.value
+            wanted = keys[rows]
+            at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            hit = known[at] == wanted
+            out[rows[hit]] = value[at[hit]]
+            shared.__dict__.pop("_value", None)
+        return out
+
+    def means(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
         n = np.diff(first)
-        before = np.concatenate([one[:1], one[:-1]])
-        own = (two >= 0) & (self.left[two] == before) & (self.right[two] == one)
-        side = []
-        for c in (0, 1):
-            p = self.p[c][one]
-            side.append(np.log(np.where(two >= 0, np.where(own, self.seen[c][two], 0) + self.back[c][before] * p, p)))
-        total = np.concatenate([[0], np.cumsum(side[1] - side[0], dtype=np.float64)])
+        inner = np.ones(len(words), bool)  # words that have one before them in their text
+        inner[first[:-1][first[:-1] < len(words)]] = False
+        right = np.flatnonzero(inner)
+        value = self.values(np.concatenate([words, mix(words[right - 1] ^ OF_LEFT), pair_keys(words[right - 1], words[right])]))
+        own, m = value[: len(words)] + self.base, len(right)
+        own[right] += value[len(words) : len(words) + m] + value[len(words) + m :]
+        total = np.concatenate([[0], np.cumsum(own)])
         return (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)
 
 
-def learn(docs: DataFrame, labels: dict[int, int], least_texts: float) -> Model:
+def count_grams(docs: DataFrame, labels: dict[int, int]) -> DataFrame:
+    """kind (0: word, 1: bigram), left, right, n0 and n1: the ordinary and toxic texts that have it."""
     ids = np.array(sorted(labels), np.int64)
-    known = docs.sparkSession.sparkContext.broadcast((ids, np.array([labels[i] for i in ids.tolist()], np.int64)))
+    known = docs.sparkSession.sparkContext.broadcast((ids, np.array([labels[i] for i in ids.tolist()], np.int32)))
 
-    def count(batches):
+    def run(batches):
         ids, classes = known.value
-        size = 1 << BITS
-        uni, bi = np.zeros((2, size), np.int32), np.zeros((2, size), np.int32)
-        words = np.zeros((2, size), np.int32)
         for batch in batches:
             keys, data, off = text_arrays(batch)
             at = np.minimum(np.searchsorted(ids, keys), len(ids) - 1)
-            mine = np.flatnonzero(ids[at] == keys) if len(ids) else []
-            for k in mine:
-                one, two, _ = grams(data[off[k] : off[k + 1]], np.array([0, off[k + 1] - off[k]]))
-                c = classes[at[k]]
-                uni[c, np.unique(one)] += 1
-                entry, where = np.unique(two[1:], return_index=True)
-                bi[c, entry] += 1
-                words[0, entry] = np.maximum(words[0, entry], one[where])
-                words[1, entry] = np.maximum(words[1, entry], one[where + 1])
-        rows = []
-        for s in range(SLICES):
-            part = slice(s * size // SLICES, (s + 1) * size // SLICES)
-            for kind, table in ((0, uni), (1, bi)):
-                some = np.flatnonzero(table[:, part].any(0))
-                at = some + part.start
-                rows.append((s * 2 + kind, dump(at.astype(np.int32), *table[:, at], *words[:, at])))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["slice", "payload"])
-
-    def add(table: pa.Table) -> pa.Table:
-        size = 1 << BITS
-        out = np.zeros((4, size), np.int32)
-        for raw in table.column("payload").to_pylist():
-            at, *four = load(raw)
-            for k in (0, 1):
-                out[k, at] += four[k]
-                out[k + 2, at] = np.maximum(out[k + 2, at], four[k + 2])
-        some = np.flatnonzero(out[:2].sum(0) >= least_texts)
-        return pa.table({"slice": table.column("slice")[:1], "payload": pa.array([dump(some.astype(np.int32), *out[:, some])], pa.binary())})
-
-    tables = np.zeros((2, 4, 1 << BITS), np.int32)
-    for r in docs.mapInArrow(count, "slice int, payload binary").groupBy("slice").applyInArrow(add, "slice int, payload binary").toLocalIterator():
-        at, *four = load(r.payload)  # 2 * SLICES rows, of 2^20 entries at most in all
-        tables[r.slice % 2][:, at] = four
-    return Model(tables[0, :2].astype(np.float64), tables[1, :2].astype(np.float64), tables[1, 2], tables[1, 3])
+            for k in np.flatnonzero(ids[at] == keys):
+                words, _ = grams(data[off[k] : off[k + 1]], np.array([0, off[k + 1] - off[k]]))
+                one, two = np.unique(words), np.unique(np.stack([words[:-1], words[1:]], 1), axis=0)
+                kind = np.repeat(np.array([0, 1], np.int32), [len(one), len(two)])
+                left, right = np.concatenate([one, two[:, 0]]), np.concatenate([np.zeros(len(one), np.uint64), two[:, 1]])
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), pa.array(np.full(len(kind), classes[at[k]], np.int32))], ["kind", "left", "right", "toxic"])
+
+    rows = docs.mapInArrow(run, "kind int, left long, right long, toxic int")
+    return rows.groupBy("kind", "left", "right").agg(F.sum(1 - F.col("toxic")).alias("n0"), F.sum("toxic").alias("n1"))
+
+
+def learn(docs: DataFrame, labels: dict[int, int], least_texts: float) -> Model:
+    counts = materialize(count_grams(docs, labels).filter(F.col("n0") + F.col("n1") >= least_texts), "grams")
+    uni, bi = counts.filter("kind = 0").select(F.col("left").alias("word"), "n0", "n1"), counts.filter("kind = 1")
+    all_of = uni.agg(*(F.coalesce(F.sum(f"n{c}"), F.lit(0)).alias(f"total{c}") for c in (0, 1)), *(F.count_if(F.col(f"n{c}") > 0).alias(f"types{c}") for c in (0, 1)), F.count("*").alias("n")).first()
+    pairs = bi.count()
+    rest = [DISCOUNT * all_of[f"types{c}"] / all_of[f"total{c}"] if all_of[f"total{c}"] else 1.0 for c in (0, 1)]
+    base = float(np.log(rest[1] / rest[0]))
+
+    follows = bi.groupBy(F.col("right").alias("word")).agg(F.count("*").alias("follows"))  # of both classes together
+    context = bi.groupBy(F.col("left").alias("word")).agg(*(F.sum(f"n{c}").alias(f"c{c}") for c in (0, 1)), *(F.count_if(F.col(f"n{c}") > 0).alias(f"k{c}") for c in (0, 1)))
+    shared = (F.col("follows") + 0.5) / F.lit(pairs + 0.5 * (all_of["n"] + 1))  # one more for words that are not known
+    p = [F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / F.lit(float(all_of[f"total{c}"] or 1)) + F.lit(rest[c]) * shared for c in (0, 1)]
+    back = [F.when(F.col(f"c{c}") > 0, DISCOUNT * F.col(f"k{c}") / F.col(f"c{c}")).otherwise(1.0) for c in (0, 1)]
+    words = uni.join(follows, "word", "left").join(context, "word", "left").na.fill(0)
+    words = materialize(words.select("word", "c0", "c1", *(p[c].alias(f"p{c}") for c in (0, 1)), *(back[c].alias(f"b{c}") for c in (0, 1))), "words")
+
+    left = words.select(F.col("word").alias("left"), "c0", "c1", "b0", "b1")
+    right = words.select(F.col("word").alias("right"), "p0", "p1")
+    seen = [F.when(F.col(f"c{c}") > 0, F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / F.col(f"c{c}")).otherwise(0.0) for c in (0, 1)]
+    backed = [F.col(f"b{c}") * F.col(f"p{c}") for c in (0, 1)]
+    none = F.lit(0).cast("long")
+    entries = words.select(F.lit(0).alias("kind"), F.col("word").alias("left"), none.alias("right"), (F.log("p1") - F.log("p0") - base).alias("value"))
+    entries = entries.unionByName(words.select(F.lit(2).alias("kind"), F.col("word").alias("left"), none.alias("right"), (F.log("b1") - F.log("b0")).alias("value")))
+    delta = F.log(seen[1] + backed[1]) - F.log(seen[0] + backed[0]) - F.log(backed[1]) + F.log(backed[0])
+    entries = entries.unionByName(bi.join(left, "left").join(right, "right").select("kind", "left", "right", delta.alias("value")))
+    bits = max(LEAST_BITS, ((2 * all_of["n"] + pairs) // ENTRIES).bit_length())
+
+    def keyed(batches):
+        for batch in batches:
+            kind, one, two = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("kind", "left", "right"))
+            one, two = one.astype(np.int64).view(np.uint64), two.astype(np.int64).view(np.uint64)
+            key = np.where(kind == 0, one, np.where(kind == 1, pair_keys(one, two), mix(one ^ OF_LEFT)))
+            part = (key >> np.uint64(64 - bits)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(key.view(np.int64)), batch.column("value").cast(pa.float32())], ["slice", "key", "value"])
+
+    def sliced(table: pa.Table) -> pa.Table:
+        key, value = table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy()
+        order = np.argsort(key)
+        return pa.table({"slice": table.column("slice")[:1], "keys": pa.array([key[order].tobytes()], pa.binary()), "vals": pa.array([value[order].tobytes()], pa.binary())})
+
+    made = entries.filter("value <> 0").mapInArrow(keyed, "slice int, key long, value float").groupBy("slice").applyInArrow(sliced, "slice int, keys binary, vals binary")
+    slices = {}
+    for r in materialize(made, "slices").toLocalIterator():  # one slice of some ENTRIES at a time; the driver keeps none
+        slices[r.slice] = docs.sparkSession.sparkContext.broadcast((np.frombuffer(bytes(r["keys"]), np.uint64), np.frombuffer(bytes(r.vals), np.float32)))
+    return Model(base, bits, slices)
 
 
 def mean_scores(docs: DataFrame, model: Model, knots: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))) -> DataFrame:
     """doc_id, mean and score, which is read from the curve and, within a level part of it, still rises a little with the mean."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def scored(held):
+        ids = np.concatenate([h[0] for h in held])
+        n = np.concatenate([np.diff(h[2]) for h in held])
+        mean = model.means(np.concatenate([h[1] for h in held]), np.concatenate([[0], np.cumsum(n)]))
+        score = np.clip(np.interp(mean, *knots) + 0.01 * (1 / (1 + np.exp(-np.clip(10 * mean, -30, 30))) - 0.5), 0, 1)
+        return pa.RecordBatch.from_arrays([ids_out(ids), pa.array(mean), pa.array(score)], ["doc_id", "mean", "score"])
 
     def run(batches):
+        held, n = [], 0
         for batch in batches:
             ids, data, off = text_arrays(batch)
-            out = [shared.value.means(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in chunks(off, CHUNK)]
-            mean = np.concatenate(out) if out else np.zeros(0)
-            score = np.clip(np.interp(mean, *knots) + 0.01 * (1 / (1 + np.exp(-np.clip(10 * mean, -30, 30))) - 0.5), 0, 1)
-            yield pa.RecordBatch.from_arrays([ids_out(ids), pa.array(mean), pa.array(score)], ["doc_id", "mean", "score"])
+            for lo, hi in chunks(off, CHUNK):
+                held.append((ids[lo:hi], *grams(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])))
+                n += len(held[-1][1])
+                if n >= BLOCK:
+                    yield scored(held)
+                    held, n = [], 0
+        if held:
+            yield scored(held)
 
     return docs.mapInArrow(run, "doc_id long, mean double, score double")
 

@@ -187,6 +187,31 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, known).count() == 0
 
 
+def test_toxicity_counts_exactly(spark):
+    dice = random.Random(8)
+    words = ["".join(dice.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    t = {k: [dice.choice(words[: 50 + 10 * (k % 2)]) for _ in range(30)] for k in range(80)}
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in t.items()], "doc_id long, text string")
+    labels = {k: k % 2 for k in range(60)}
+    uni, bi = [Counter(), Counter()], [Counter(), Counter()]
+    for k, c in labels.items():
+        uni[c].update(set(t[k]))
+        bi[c].update(set(zip(t[k], t[k][1:], strict=False)))
+    pairs, known = {*bi[0], *bi[1]}, {*uni[0], *uni[1]}
+    follows = Counter(r for _, r in pairs)
+    d = 0.75
+
+    def log_p(c, w, left):
+        p = max(uni[c][w] - d, 0) / uni[c].total() + d * len(uni[c]) / uni[c].total() * (follows[w] + 0.5) / (len(pairs) + 0.5 * (len(known) + 1))
+        if left is None or not (context := sum(n for (x, _), n in bi[c].items() if x == left)):
+            return np.log(p)
+        return np.log(max(bi[c][left, w] - d, 0) / context + d * sum(x == left for x, _ in bi[c]) / context * p)
+
+    got = {r.doc_id: r.mean for r in toxicity.mean_scores(docs, toxicity.learn(docs, labels, 1)).collect()}
+    for k, w in t.items():
+        assert got[k] == pytest.approx(np.mean([log_p(1, x, y) - log_p(0, x, y) for x, y in zip(w, [None, *w], strict=False)]), abs=1e-4)
+
+
 def test_quality(docs, empty):
     for r in quality_rules.assess(docs).select("doc_id", "quality.*").collect():
         t = texts()[r.doc_id] or ""
