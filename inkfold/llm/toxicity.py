@@ -7,8 +7,11 @@ mean over its words of log P(toxic model) - log P(ordinary model). The models co
 the training rows and the function (an isotonic fit) from the other, weighted as the classes occur.
 
 Counts are of texts, not occurrences, exact for every word and pair of words (by 64-bit hashes of each word),
-and grow with the texts that are learnt from. An expression is rare if fewer
-than `least_texts` of the texts, or than the share `least_share` of them, have it; those only count through the backoff.
+and grow with the texts that are learnt from. None is dropped however rare, unless `least_texts` is
+more than 1. How much an expression's own split between the classes counts follows from the
+evidence for it: the posterior odds, against a split by chance, that its split is its own, with the prior odds learnt from
+all expressions. The rest of its counts goes to both classes alike, so a split that chance explains says nothing and one of some
+tens of texts, all of one class, counts in full, whatever the size of the corpus.
 The model is dealt out in slices of some half a million values, each a broadcast of its own, which a task takes one
 after the other for a block of words; a task holds one slice, however many there are. `most_per_class` bounds the labelled rows that are
 learnt from, the same number of each class; below the bound all rows of the rarer class are used.
@@ -90,8 +93,16 @@ class Model:
         return (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)
 
 
+def uses(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of `length` words of a text: its first word, the next (0 if length is 1) and a hash of the words around it."""
+    n = max(len(words) - length + 1, 0)
+    around = np.concatenate([np.zeros(1, np.uint64), words, np.zeros(1, np.uint64)])
+    return words[:n], words[1 : n + 1] if length > 1 else np.zeros(n, np.uint64), pair_keys(around[:n], around[length + 1 : length + 1 + n])
+
+
 def count_grams(docs: DataFrame, labels: dict[int, int]) -> DataFrame:
-    """kind (0: word, 1: bigram), left, right, n0 and n1: the ordinary and toxic texts that have it."""
+    """kind (0: word, 1: bigram), left, right, n0 and n1: the ordinary and toxic texts that have it, or the
+    different words around it there if these are fewer, so copies of a passage count once."""
     ids = np.array(sorted(labels), np.int64)
     known = docs.sparkSession.sparkContext.broadcast((ids, np.array([labels[i] for i in ids.tolist()], np.int32)))
 
@@ -102,34 +113,77 @@ def count_grams(docs: DataFrame, labels: dict[int, int]) -> DataFrame:
             at = np.minimum(np.searchsorted(ids, keys), len(ids) - 1)
             for k in np.flatnonzero(ids[at] == keys):
                 words, _ = grams(data[off[k] : off[k + 1]], np.array([0, off[k + 1] - off[k]]))
-                one, two = np.unique(words), np.unique(np.stack([words[:-1], words[1:]], 1), axis=0)
-                kind = np.repeat(np.array([0, 1], np.int32), [len(one), len(two)])
-                left, right = np.concatenate([one, two[:, 0]]), np.concatenate([np.zeros(len(one), np.uint64), two[:, 1]])
-                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), pa.array(np.full(len(kind), classes[at[k]], np.int32))], ["kind", "left", "right", "toxic"])
+                for kind in (0, 1):
+                    left, right, around = uses(words, kind + 1)
+                    order = np.lexsort((around, right, left))
+                    left, right, around = left[order], right[order], around[order]
+                    new = np.ones(len(left), np.int64)
+                    new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+                    same = [pa.array(np.full(len(left), v, np.int32)) for v in (kind, classes[at[k]])]
+                    yield pa.RecordBatch.from_arrays([same[0], *(pa.array(x.view(np.int64)) for x in (left, right, around)), same[1], pa.array(new)], ["kind", "left", "right", "around", "toxic", "texts"])
+
+    rows = docs.mapInArrow(run, "kind int, left long, right long, around long, toxic int, texts long")
+    rows = rows.groupBy("kind", "left", "right", "toxic", "around").agg(F.sum("texts").alias("texts"))
+    toxic = F.col("toxic")
+    n = [F.least(F.coalesce(F.sum(F.when(toxic == c, F.col("texts"))), F.lit(0)), F.count_if(toxic == c)).cast("long").alias(f"n{c}") for c in (0, 1)]
+    return rows.groupBy("kind", "left", "right").agg(*n)
+
+
+def log_evidence(n0: np.ndarray, n1: np.ndarray, share: float) -> np.ndarray:
+    """Log of the Bayes factor for: the toxic part of an expression's texts is its own (any part alike), against: it is the share of toxic texts."""
+    n0, n1 = n0.astype(np.int64), n1.astype(np.int64)
+    logs = np.concatenate([[0], np.cumsum(np.log(np.arange(1, int((n0 + n1).max(initial=0)) + 1)))])  # of factorials
+    return -np.log(n0 + n1 + 1) - (logs[n0 + n1] - logs[n0] - logs[n1] + n1 * np.log(share) + n0 * np.log(1 - share))
+
+
+def prior_log_odds(evidence: np.ndarray, often: np.ndarray) -> float:
+    """Log odds that an expression's toxic part is its own, by expectation maximisation over all expressions (each value of evidence, how often)."""
+    odds = np.log(0.01)
+    for _ in range(200):
+        part = (often / (1 + np.exp(np.clip(-evidence - odds, -500, 500)))).sum() / max(often.sum(), 1)
+        part = min(max(part, 1e-9), 1 - 1e-9)
+        odds = np.log(part / (1 - part))
+    return float(odds)
+
+
+def weighed(counts: DataFrame, share: float) -> DataFrame:
+    """kind, left, right, n0, n1: what an expression's own counts are evidence for stays with the classes, the rest is dealt out to both as they occur."""
+
+    def judged(batches):
+        for batch in batches:
+            n0, n1 = (batch.column(n).to_numpy() for n in ("n0", "n1"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(log_evidence(n0, n1, share))], [*batch.schema.names, "evidence"])
 
-    rows = docs.mapInArrow(run, "kind int, left long, right long, toxic int")
-    return rows.groupBy("kind", "left", "right").agg(F.sum(1 - F.col("toxic")).alias("n0"), F.sum("toxic").alias("n1"))
+    counts = materialize(counts.mapInArrow(judged, "kind int, left long, right long, n0 long, n1 long, evidence double"), "grams")
+    step = F.greatest(F.lit(-400), F.least(F.lit(1000), F.round(F.col("evidence") * 20).cast("int")))
+    bins = counts.groupBy("kind", step.alias("step")).count().collect()  # 2 * 1401 at most
+    odds = [prior_log_odds(np.array([r.step / 20 for r in own]), np.array([r["count"] for r in own])) for own in ([r for r in bins if r.kind == k] for k in (0, 1))]
+    own = 1 / (1 + F.exp(-F.col("evidence") - F.when(F.col("kind") == 0, odds[0]).otherwise(odds[1])))
+    n = F.col("n0") + F.col("n1")
+    return counts.select("kind", "left", "right", (own * F.col("n0") + (1 - own) * n * (1 - share)).alias("n0"), (own * F.col("n1") + (1 - own) * n * share).alias("n1"))
 
 
-def learn(docs: DataFrame, labels: dict[int, int], least_texts: float) -> Model:
-    counts = materialize(count_grams(docs, labels).filter(F.col("n0") + F.col("n1") >= least_texts), "grams")
+def learn(docs: DataFrame, labels: dict[int, int], least_texts: int) -> Model:
+    share = sum(labels.values()) / len(labels)
+    counts = weighed(count_grams(docs, labels).filter(F.col("n0") + F.col("n1") >= least_texts), share)
     uni, bi = counts.filter("kind = 0").select(F.col("left").alias("word"), "n0", "n1"), counts.filter("kind = 1")
-    all_of = uni.agg(*(F.coalesce(F.sum(f"n{c}"), F.lit(0)).alias(f"total{c}") for c in (0, 1)), *(F.count_if(F.col(f"n{c}") > 0).alias(f"types{c}") for c in (0, 1)), F.count("*").alias("n")).first()
+    cut = [F.least(F.col(f"n{c}"), F.lit(DISCOUNT)) for c in (0, 1)]  # what the discount takes
+    all_of = uni.agg(*(F.coalesce(F.sum(f"n{c}"), F.lit(0.0)).alias(f"total{c}") for c in (0, 1)), *(F.coalesce(F.sum(cut[c]), F.lit(0.0)).alias(f"cut{c}") for c in (0, 1)), F.count("*").alias("n")).first()
     pairs = bi.count()
-    rest = [DISCOUNT * all_of[f"types{c}"] / all_of[f"total{c}"] if all_of[f"total{c}"] else 1.0 for c in (0, 1)]
+    rest = [all_of[f"cut{c}"] / all_of[f"total{c}"] if all_of[f"total{c}"] else 1.0 for c in (0, 1)]
     base = float(np.log(rest[1] / rest[0]))
 
     follows = bi.groupBy(F.col("right").alias("word")).agg(F.count("*").alias("follows"))  # of both classes together
-    context = bi.groupBy(F.col("left").alias("word")).agg(*(F.sum(f"n{c}").alias(f"c{c}") for c in (0, 1)), *(F.count_if(F.col(f"n{c}") > 0).alias(f"k{c}") for c in (0, 1)))
+    context = bi.groupBy(F.col("left").alias("word")).agg(*(F.sum(f"n{c}").alias(f"c{c}") for c in (0, 1)), *(F.sum(cut[c]).alias(f"k{c}") for c in (0, 1)))
     shared = (F.col("follows") + 0.5) / F.lit(pairs + 0.5 * (all_of["n"] + 1))  # one more for words that are not known
-    p = [F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / F.lit(float(all_of[f"total{c}"] or 1)) + F.lit(rest[c]) * shared for c in (0, 1)]
-    back = [F.when(F.col(f"c{c}") > 0, DISCOUNT * F.col(f"k{c}") / F.col(f"c{c}")).otherwise(1.0) for c in (0, 1)]
+    p = [(F.col(f"n{c}") - cut[c]) / F.lit(all_of[f"total{c}"] or 1.0) + F.lit(rest[c]) * shared for c in (0, 1)]
+    back = [F.when(F.col(f"c{c}") > 0, F.col(f"k{c}") / F.col(f"c{c}")).otherwise(1.0) for c in (0, 1)]
     words = uni.join(follows, "word", "left").join(context, "word", "left").na.fill(0)
     words = materialize(words.select("word", "c0", "c1", *(p[c].alias(f"p{c}") for c in (0, 1)), *(back[c].alias(f"b{c}") for c in (0, 1))), "words")
 
     left = words.select(F.col("word").alias("left"), "c0", "c1", "b0", "b1")
     right = words.select(F.col("word").alias("right"), "p0", "p1")
-    seen = [F.when(F.col(f"c{c}") > 0, F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / F.col(f"c{c}")).otherwise(0.0) for c in (0, 1)]
+    seen = [F.when(F.col(f"c{c}") > 0, (F.col(f"n{c}") - cut[c]) / F.col(f"c{c}")).otherwise(0.0) for c in (0, 1)]
     backed = [F.col(f"b{c}") * F.col(f"p{c}") for c in (0, 1)]
     none = F.lit(0).cast("long")
     entries = words.select(F.lit(0).alias("kind"), F.col("word").alias("left"), none.alias("right"), (F.log("p1") - F.log("p0") - base).alias("value"))
@@ -196,7 +250,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array([p[2] / p[0] for p in pools]), np.array([p[1] / p[0] for p in pools])
 
 
-def score(docs: DataFrame, labels: DataFrame, most_per_class: int = 100_000, least_texts: int = 3, least_share: float = 0.01) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, most_per_class: int = 100_000, least_texts: int = 1) -> DataFrame:
     """labels: doc_id, toxic. Returns doc_id, held_out, score, predicted, mean."""
     docs = id_and_text(docs)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -208,7 +262,7 @@ def score(docs: DataFrame, labels: DataFrame, most_per_class: int = 100_000, lea
     if each >= 2:
         rows = [r for c in (0, 1) for r in known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each).collect()]  # 2 * most_per_class at most
         half = [{r.doc_id: r.toxic for r in rows[k::2]} for k in (0, 1)]
-        model = learn(docs, half[0], max(least_texts, least_share * len(half[0])))
+        model = learn(docs, half[0], least_texts)
         wanted = docs.sparkSession.createDataFrame(list(half[1].items()), "doc_id long, toxic int")
         found = np.array([(r.mean, r.toxic) for r in mean_scores(docs.join(F.broadcast(wanted), "doc_id", "left_semi"), model).join(F.broadcast(wanted), "doc_id").collect()])
         if len(found):

@@ -193,25 +193,50 @@ def test_toxicity_counts_exactly(spark):
     t = {k: [dice.choice(words[: 50 + 10 * (k % 2)]) for _ in range(30)] for k in range(80)}
     docs = spark.createDataFrame([(k, " ".join(w)) for k, w in t.items()], "doc_id long, text string")
     labels = {k: k % 2 for k in range(60)}
-    uni, bi = [Counter(), Counter()], [Counter(), Counter()]
+    uni, bi, around = [Counter(), Counter()], [Counter(), Counter()], [defaultdict(set), defaultdict(set)]
     for k, c in labels.items():
         uni[c].update(set(t[k]))
         bi[c].update(set(zip(t[k], t[k][1:], strict=False)))
+        for w, x, y in zip(t[k], ["", *t[k]], [*t[k][1:], ""], strict=False):
+            around[c][w].add((x, y))
+        for w, x, y in zip(zip(t[k], t[k][1:], strict=False), ["", *t[k]], [*t[k][2:], ""], strict=False):
+            around[c][w].add((x, y))
+    for n in (uni, bi):
+        for c in (0, 1):
+            n[c] = Counter({w: min(m, len(around[c][w])) for w, m in n[c].items()})
     pairs, known = {*bi[0], *bi[1]}, {*uni[0], *uni[1]}
+    for n in (uni, bi):
+        keys = sorted({*n[0], *n[1]})
+        count = np.array([[n[c][x] for x in keys] for c in (0, 1)])
+        evidence = toxicity.log_evidence(*count, 0.5)
+        own = 1 / (1 + np.exp(-evidence - toxicity.prior_log_odds(np.round(evidence * 20) / 20, np.ones(len(keys)))))
+        for c in (0, 1):
+            n[c] = dict(zip(keys, own * count[c] + (1 - own) * count.sum(0) / 2, strict=True))
     follows = Counter(r for _, r in pairs)
     d = 0.75
 
     def log_p(c, w, left):
-        p = max(uni[c][w] - d, 0) / uni[c].total() + d * len(uni[c]) / uni[c].total() * (follows[w] + 0.5) / (len(pairs) + 0.5 * (len(known) + 1))
-        if left is None or not (context := sum(n for (x, _), n in bi[c].items() if x == left)):
+        total = sum(uni[c].values())
+        p = max(uni[c][w] - d, 0) / total + sum(min(n, d) for n in uni[c].values()) / total * (follows[w] + 0.5) / (len(pairs) + 0.5 * (len(known) + 1))
+        after = {r: n for (x, r), n in bi[c].items() if x == left}
+        if not after:
             return np.log(p)
-        return np.log(max(bi[c][left, w] - d, 0) / context + d * sum(x == left for x, _ in bi[c]) / context * p)
+        return np.log(max(after.get(w, 0) - d, 0) / sum(after.values()) + sum(min(n, d) for n in after.values()) / sum(after.values()) * p)
 
     got = {r.doc_id: r.mean for r in toxicity.mean_scores(docs, toxicity.learn(docs, labels, 1)).collect()}
     for k, w in t.items():
         assert got[k] == pytest.approx(np.mean([log_p(1, x, y) - log_p(0, x, y) for x, y in zip(w, [None, *w], strict=False)]), abs=1e-4)
 
 
+def test_toxicity_of_rare_words(spark):
+    dice = random.Random(4)
+    plain, bad = ([a + "".join(dice.choice("abcdefgh") for _ in range(6)) for _ in range(200)] for a in "pq")
+    rows = [(k, " ".join(dice.choice(plain) for _ in range(40)) + (" " + " ".join([dice.choice(bad)] * 2) if k % 2 else "")) for k in range(4000)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(4000)], "doc_id long, toxic int")
+    rest = toxicity.score(docs, labels).filter("held_out").collect()
+    assert sum(r.predicted == r.doc_id % 2 for r in rest) > 0.9 * len(rest) > 0, "each toxic word is in half a percent of the texts learnt from or less"
+
+
 def test_quality(docs, empty):
     for r in quality_rules.assess(docs).select("doc_id", "quality.*").collect():
         t = texts()[r.doc_id] or ""
