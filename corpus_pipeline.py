@@ -6,7 +6,8 @@ for each packed piece.
 
 Rejected documents, all but the least doc_id of each group of near duplicates and documents with a
 benchmark window go; secrets are replaced by a mark in the text. Rows that repeat a doc_id with the
-same text are copies of each other, of which the near-duplicate stage keeps one.
+same text are copies of each other, of which the near-duplicate stage keeps one. Every other row, also one
+whose doc_id is null or has several texts, is a document of its own: stages know rows by a 64-bit hash of doc_id and text.
 """
 
 from __future__ import annotations
@@ -26,25 +27,40 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.assess(docs).filter("quality.kept").select(*COLUMNS)
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row_key"))
+
+
+def by_key(docs: DataFrame) -> DataFrame:
+    """What the operators read, with the key of a row as its id."""
+    return docs.select(F.col("row_key").alias("doc_id"), "text")
+
+
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each class stays."""
-    least = near_duplicates.join(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id")) | F.col("doc_id").isNull()).select("doc_id").distinct()
-    once = docs.join(least, docs.doc_id.eqNullSafe(least.doc_id), "left_semi")
-    return once.groupBy("doc_id").agg(*(F.min_by(c, F.struct(F.coalesce("text", F.lit("")), "lang", "source", "n_chars")).alias(c) for c in COLUMNS[1:]))
+    """The least doc_id of each class stays, null after all others."""
+    docs = with_key(docs)
+    classes = near_duplicates.join(by_key(docs)).select(F.col("doc_id").alias("row_key"), "class_id").distinct()
+    ids = docs.select("row_key", "doc_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    least = classes.join(ids, "row_key").groupBy("class_id").agg(F.min(order).alias("first")).select(F.col("first.row_key").alias("row_key"))
+    once = docs.join(least, "row_key", "left_semi")
+    return once.groupBy("row_key").agg(*(F.min_by(c, F.struct(F.coalesce("text", F.lit("")), "lang", "source", "n_chars")).alias(c) for c in COLUMNS)).select(*COLUMNS)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document with any benchmark window goes."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("doc_id").distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_anti").select(*COLUMNS)
+    docs = with_key(docs)
+    found = decontamination.contamination(by_key(docs), table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select(F.col("doc_id").alias("row_key")).distinct()
+    return docs.join(found, "row_key", "left_anti").select(*COLUMNS)
 
 
 def secret_marks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with a mark in place of each secret; n_chars is that of the new text."""
-    rest = docs.select("doc_id", "lang", "source", "n_chars", F.coalesce("text", F.lit("")).alias("before"))
-    found = secrets.find_secrets(docs).select(F.col("doc_id").alias("id"), "masked", "spans").filter("spans != ''").dropDuplicates(["id"])
+    docs = with_key(docs)
+    rest = docs.select("doc_id", "lang", "source", "n_chars", "row_key", F.coalesce("text", F.lit("")).alias("before"))
+    found = secrets.find_secrets(by_key(docs)).select(F.col("doc_id").alias("row_key"), "masked", "spans").filter("spans != ''").dropDuplicates(["row_key"])
     text = F.coalesce("masked", "before")
-    joined = rest.join(found, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    joined = rest.join(found, "row_key", "left")
     return joined.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("masked").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast("long").alias("n_chars"))
 
 

@@ -127,3 +127,15 @@ def test_stages(spark, items, tmp_path, stage, rows):
             assert 1 not in found
     else:
         assert not found
+
+
+def test_stages_judge_rows_of_one_id_apart(spark, tmp_path):
+    part = [" ".join(WORDS[k : k + 60]) for k in range(0, 600, 60)]
+    spark.createDataFrame([(1, part[0])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, part[1]), (9, part[1]), (9, part[2]), (9, part[2]), (None, part[3]), (None, part[4]), (None, part[1]), (7, part[0]), (7, part[5]), (None, part[0]), (8, "password=hunter22 x"), (8, part[6])]
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in rows], ", ".join(("doc_id long", "text string", "lang string", "source string", "n_chars long")))
+    got = {n: sorted((r.doc_id or 0, r.text) for r in dict(corpus_pipeline.STAGES)[n](spark, docs, str(tmp_path)).collect()) for n in ("near_duplicates", "decontamination", "secrets")}
+    as_is = [(k or 0, t) for k, t in rows]
+    assert got["near_duplicates"] == sorted({*as_is} - {(9, part[1]), (0, part[1]), (0, part[0])})
+    assert got["decontamination"] == sorted(x for x in as_is if x[1] != part[0])
+    assert got["secrets"] == sorted((k, "[SECRET] x" if t.startswith("pass") else t) for k, t in as_is)
