@@ -41,7 +41,7 @@ NO_ID = int(NULL_ID)
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them. The same vocabulary runs in the faster
     tiktoken; the few texts with characters that are new in Unicode, which the two may class
-    differently, go to the library itself."""
+    differently, or with runs of blanks that tiktoken fails on, go to the library itself."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
@@ -52,7 +52,10 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         if text.isascii() or pretokens.recent().isdisjoint(text):
-            return self.fast.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=())
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=())
+            except ValueError:  # its pattern runs out of stack on about a million blanks in a row
+                pass
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 

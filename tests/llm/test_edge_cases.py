@@ -66,6 +66,13 @@ def test_packing(docs):
     assert set(ids(rows)) == set(ALL)
 
 
+def test_packing_of_a_million_blanks(spark):
+    text = "a" + " " * 1_500_000 + "b"
+    rows = packing.pack(spark.createDataFrame([(1, text), (2, "c")], "doc_id long, text string"), PATH).collect()
+    want = len(packing.encoder(PATH).library.encode(text, add_special_tokens=False).ids) + 1
+    assert sum(r.length for r in rows if r.doc_id == 1) == want == next(r.doc_tokens for r in rows if r.doc_id == 1)
+
+
 def test_decontamination(docs, items):
     rows = decontamination.contamination(docs, items).collect()
     assert set(ids(rows)) == set(ALL)
