@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist (operator 5).
 
 Each text is scanned for secrets. Then its encoded stretches are unwrapped in place: percent escapes, \\u
-and \\x escapes, character references, base64 (plain or URL-safe) and what base64 or escapes hold
+and \\x escapes, character references, base64 (plain or URL-safe, also wrapped in lines) and what base64 or escapes hold
 in compressed form (gzip, zlib, bzip2, xz). The unwrapped text is a new layer, which is scanned and
 unwrapped in turn until nothing changes or a layer comes back that was there before. Spans found in a layer
 are mapped to the original text, an unwrapped stretch as a whole; they count if they touch an unwrapped stretch.
@@ -36,7 +36,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+ONE_ALPHABET = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+LINE = re.compile(r"[^\r\n]+")
 MOST_UNPACKED = 4_000_000
 
 
@@ -79,7 +81,7 @@ def readable(raw: bytes, most: int) -> str | None:
 
 
 def from_base64(word: str, most: int) -> str | None:
-    body = word.rstrip("=").replace("-", "+").replace("_", "/")
+    body = word.rstrip("=").replace("-", "+").replace("_", "/").replace("\n", "").replace("\r", "")
     if len(body) % 4 == 1:
         return None
     try:
@@ -88,6 +90,33 @@ def from_base64(word: str, most: int) -> str | None:
         return None
 
 
+def base64_parts(text: str, start: int, end: int, most: int) -> list[tuple[int, int, str]]:
+    """What of a run of both alphabets, over line breaks, is base64: all of it, else its blocks of lines of one length
+    with or without a shorter last line, else single lines, else the stretches of one alphabet in a line."""
+    if (inner := from_base64(text[start:end], most)) is not None:
+        return [(start, end, inner)]
+    lines, out, k = [(m.start(), m.end()) for m in LINE.finditer(text, start, end)], [], 0
+    while k < len(lines):
+        width, stop = lines[k][1] - lines[k][0], k + 1
+        while stop < len(lines) and lines[stop][1] - lines[stop][0] == width:
+            stop += 1
+        short = stop < len(lines) and lines[stop][1] - lines[stop][0] < width
+        tries = [n for n in ((stop + 1,) if short else ()) + (stop,) if len(lines) > 1 and lines[n - 1][1] - lines[k][0] >= 16]
+        for n in tries:
+            if (inner := from_base64(text[lines[k][0] : lines[n - 1][1]], most)) is not None:
+                out.append((lines[k][0], lines[n - 1][1], inner))
+                k = n
+                break
+        else:
+            for a, b in lines[k:stop]:
+                if stop > k + 1 and b - a >= 16 and (inner := from_base64(text[a:b], most)) is not None:
+                    out.append((a, b, inner))
+                else:
+                    out += [(m.start(), m.end(), inner) for m in ONE_ALPHABET.finditer(text, a, b) if (inner := from_base64(m[0], most)) is not None]
+            k = stop
+    return out
+
+
 def unescape(run: str, most: int) -> str | None:
     """One run of escapes of a kind."""
     if run[0] == "&":
@@ -124,7 +153,8 @@ class Layer:
         text, found = self.text, []
         if "%" in text or "\\" in text or "&#" in text:
             found += [(m.start(), m.end(), inner) for m in ESCAPES.finditer(text) if (inner := unescape(m[0], most)) is not None]
-        found += [(m.start(), m.end(), inner) for m in BASE64.finditer(text) if (inner := from_base64(m[0], most)) is not None]
+        for m in BASE64.finditer(text):
+            found += base64_parts(text, m.start(), m.end(), most)
         if not found:
             return None
         parts, stretches, at, size = [], [], 0, 0

@@ -141,6 +141,22 @@ def test_secrets(docs, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def kinds(text: str, **more) -> set[int]:
+    return {k for _, _, k in secrets.all_spans(text, **more)[1]}
+
+
+def test_secrets_in_whole_base64():
+    dice = random.Random(6)
+    for k in range(200):
+        line = "".join(dice.choice("abcdefgh ?>~é") for _ in range(90)) + f" password=hunter{k:03} " + "".join(dice.choice("xyz ?>~ö") for _ in range(90))
+        for raw in (line.encode(), zlib.compress(line.encode())):
+            for made in (base64.urlsafe_b64encode(raw).decode(), base64.encodebytes(raw).decode(), base64.encodebytes(raw).decode().replace("\n", "\r\n")):
+                text = f"see: {made} end"
+                assert 0 in kinds(text), text
+                assert 0 in kinds(f"word\n{made}\nword and more"), text
+    assert kinds("a-long-name_of-something/without\nanything-behind-it-at-all") == set()
+
+
 @pytest.mark.parametrize("block", [4_000_000, 200])
 def test_decontamination(spark, docs, empty, block):
     t = texts()
