@@ -6,8 +6,8 @@ in compressed form (gzip, zlib, bzip2, xz). The unwrapped text is a new layer, w
 unwrapped in turn until nothing changes or a layer comes back that was there before. Spans found in a layer
 are mapped to the original text, an unwrapped stretch as a whole; they count if they touch an unwrapped stretch.
 
-A compressed stretch is unwrapped up to `most_unpacked` bytes, which bounds what a text can do to
-a task's memory; the original text is always scanned whole.
+A compressed stretch that holds more than `most_unpacked` bytes is unwrapped and scanned, layers and all, in overlapping blocks of
+that size, which bounds what a text can do to a task's memory; no part is left out. One of broken data counts as far as it can be unwrapped.
 
 Null or empty text: no spans. Repeated rows: one result each. Other columns are ignored.
 """
@@ -17,11 +17,14 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
 from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +42,10 @@ ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-F
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
 ONE_ALPHABET = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
 LINE = re.compile(r"[^\r\n]+")
+BREAK = re.compile(r"[^A-Za-z0-9+/_=\-\r\n%\\&#;]")
 MOST_UNPACKED = 4_000_000
+EDGE = 4096
+KNOWN: dict[tuple[bytes, int], frozenset[int]] = {}  # what inner_kinds has found
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -51,36 +57,124 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def unpack(raw: bytes, most: int) -> bytes | None:
-    """What a compressed stretch holds; None if it isn't one."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, most)
-        if raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
-            return zlib.decompressobj().decompress(raw, most)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, most)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, most)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        pass
+def opener(head: bytes):
+    """What makes a decompressor for bytes that start like this; None if they aren't compressed."""
+    if head[:2] == b"\x1f\x8b":
+        return lambda: zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and int.from_bytes(head[:2], "big") % 31 == 0:
+        return zlib.decompressobj
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor
     return None
 
 
-def readable(raw: bytes, most: int) -> str | None:
-    """Decoded bytes as text, unpacked as often as needed; None if they aren't text."""
-    seen = set()
-    while (inner := unpack(raw, most)) is not None and (mark := hashlib.sha256(inner).digest()) not in seen:
+def inflate(blocks: Iterable[bytes], new, step: int) -> Iterator[bytes]:
+    """The content of compressed blocks, member by member, in blocks of up to `step` bytes; ends where the data is broken."""
+    machine = new()
+    for data in blocks:
+        while True:
+            try:
+                out = machine.decompress(data, step)
+            except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+                return
+            if out:
+                yield out
+            if machine.eof:
+                data = machine.unused_data
+                machine = new()
+                if not data:
+                    break
+            elif hasattr(machine, "unconsumed_tail"):
+                data = machine.unconsumed_tail
+                if not data and not out:
+                    break
+            else:
+                data = b""
+                if machine.needs_input:
+                    break
+
+
+def unpacked(raw: bytes, step: int) -> Iterator[bytes]:
+    """What bytes hold, unpacked as often as needed, in blocks."""
+    seen: set[bytes] = set()
+    first, rest = raw, iter(())
+    while (new := opener(first)) is not None and (mark := hashlib.sha256(first).digest()) not in seen:
         seen.add(mark)
-        raw = inner
+        inner = inflate(chain([first], rest), new, step)
+        if not (start := next(inner, b"")):
+            break
+        while len(start) < 6 and (more := next(inner, b"")):
+            start += more
+        first, rest = start, inner
+    return chain([first], rest)
+
+
+def readable(raw: bytes, most: int) -> tuple[str, frozenset[int]] | None:
+    """Decoded bytes as text, unpacked as often as needed, and the kinds of secrets that aren't in that text; None if they aren't text.
+
+    What unpacks to more than `most` bytes is scanned block by block; the text is then only its start and end."""
+    head, size, blocks = [], 0, unpacked(raw, most)
+    for block in blocks:
+        head.append(block)
+        size += len(block)
+        if size > most:
+            return in_blocks(chain(head, blocks), most)
+    raw = b"".join(head)
     try:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+    return (text, frozenset()) if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
 
 
-def from_base64(word: str, most: int) -> str | None:
+def in_blocks(blocks: Iterable[bytes], most: int) -> tuple[str, frozenset[int]] | None:
+    """The start and end of a long text, and the kinds of secrets in any of it; blocks overlap and are cut where no encoded stretch goes on."""
+    decoder, held, start, end, found = codecs.getincrementaldecoder("utf-8")(), "", "", "", set()
+    for block in chain(blocks, [b""]):
+        try:
+            text = decoder.decode(block, not block)
+        except UnicodeDecodeError:
+            return None
+        if not all(c.isprintable() or c in "\t\n\r" for c in text):
+            return None
+        held, start, end = held + text, (start + text)[:EDGE] if len(start) < EDGE else start, (end + text)[-EDGE:]
+        if block and len(held) < most:
+            continue
+        if not block:
+            found |= inner_kinds(held, most)
+            break
+        stop = last_break(held, len(held))
+        keep = last_break(held, stop - EDGE)
+        if keep:  # else an encoded stretch fills the block: it grows
+            found |= inner_kinds(held[:stop], most)
+            held = held[keep:]
+    return f"{start}\n\n{end}", frozenset(found)
+
+
+def last_break(text: str, before: int) -> int:
+    """Behind the last character before a place that no encoded stretch has; 0 if there is none."""
+    while before > 0:
+        lo = max(0, before - EDGE)
+        if found := BREAK.search(text[lo:before][::-1]):
+            return before - found.start()
+        before = lo
+    return 0
+
+
+def inner_kinds(text: str, most: int) -> frozenset[int]:
+    """Kinds of secrets in a text and its layers; a text that holds itself is not gone into again."""
+    mark = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+    if (mark, most) not in KNOWN:
+        if len(KNOWN) > 10_000:
+            KNOWN.clear()
+        KNOWN[mark, most] = frozenset()
+        KNOWN[mark, most] = frozenset(k for _, _, k in all_spans(text, most)[1])
+    return KNOWN[mark, most]
+
+
+def from_base64(word: str, most: int) -> tuple[str, frozenset[int]] | None:
     body = word.rstrip("=").replace("-", "+").replace("_", "/").replace("\n", "").replace("\r", "")
     if len(body) % 4 == 1:
         return None
@@ -90,7 +184,7 @@ def from_base64(word: str, most: int) -> str | None:
         return None
 
 
-def base64_parts(text: str, start: int, end: int, most: int) -> list[tuple[int, int, str]]:
+def base64_parts(text: str, start: int, end: int, most: int) -> list[tuple[int, int, tuple[str, frozenset[int]]]]:
     """What of a run of both alphabets, over line breaks, is base64: all of it, else its blocks of lines of one length
     with or without a shorter last line, else single lines, else the stretches of one alphabet in a line."""
     if (inner := from_base64(text[start:end], most)) is not None:
@@ -117,14 +211,14 @@ def base64_parts(text: str, start: int, end: int, most: int) -> list[tuple[int,
     return out
 
 
-def unescape(run: str, most: int) -> str | None:
+def unescape(run: str, most: int) -> tuple[str, frozenset[int]] | None:
     """One run of escapes of a kind."""
     if run[0] == "&":
         code = int(run[3:-1], 16) if run[2] in "xX" else int(run[2:-1])
-        return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else None
+        return (chr(code), frozenset()) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else None
     if run[1] == "u":
         try:
-            return b"".join(int(run[i : i + 4], 16).to_bytes(2, "big") for i in range(2, len(run), 6)).decode("utf-16-be")
+            return b"".join(int(run[i : i + 4], 16).to_bytes(2, "big") for i in range(2, len(run), 6)).decode("utf-16-be"), frozenset()
         except UnicodeDecodeError:
             return None
     raw = bytes.fromhex(run.replace("%", "").replace("\\x", ""))
@@ -134,8 +228,9 @@ def unescape(run: str, most: int) -> str | None:
 class Layer:
     """A text whose stretches know where they are in the original: (start here, start there, end there, verbatim)."""
 
-    def __init__(self, text: str, stretches: list[tuple[int, int, int, bool]]):
+    def __init__(self, text: str, stretches: list[tuple[int, int, int, bool]], inside: Iterable[tuple[int, int, int]] = ()):
         self.text, self.stretches, self.starts = text, stretches, [s[0] for s in stretches]
+        self.inside = inside  # spans in the original of secrets that the text leaves out
 
     def stretch(self, at: int) -> tuple[int, int, int, bool]:
         return self.stretches[bisect_right(self.starts, at) - 1]
@@ -157,8 +252,8 @@ class Layer:
             found += base64_parts(text, m.start(), m.end(), most)
         if not found:
             return None
-        parts, stretches, at, size = [], [], 0, 0
-        for start, end, inner in [*sorted(found), (len(text), len(text), "")]:
+        parts, stretches, inside, at, size = [], [], [], 0, 0
+        for start, end, (inner, kinds) in [*sorted(found, key=lambda x: x[0]), (len(text), len(text), ("", ()))]:
             while at < start:  # verbatim, split where this layer's own stretches end
                 lo = bisect_right(self.starts, at) - 1
                 stop = min(start, self.starts[lo + 1] if lo + 1 < len(self.starts) else start)
@@ -170,10 +265,11 @@ class Layer:
             if inner:
                 first, last, _ = self.origin(start, end)
                 stretches.append((size, first, last, False))
+                inside += [(first, last, kind) for kind in kinds]
                 parts.append(inner)
                 size += len(inner)
             at = end
-        return Layer("".join(parts), stretches)
+        return Layer("".join(parts), stretches, inside)
 
 
 def all_spans(text: str, most: int = MOST_UNPACKED) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -182,6 +278,7 @@ def all_spans(text: str, most: int = MOST_UNPACKED) -> tuple[list[tuple[int, int
     found, layer, seen = set(base), Layer(text, [(0, 0, len(text), True)]), {hash(text)}
     while (layer := layer.unwrapped(most)) is not None and (mark := hash(layer.text)) not in seen:
         seen.add(mark)
+        found.update(layer.inside)
         for start, end, kind in scan(layer.text):
             first, last, inner = layer.origin(start, end)
             if inner:

@@ -1,9 +1,11 @@
 """Operators against brute force on a small table with nulls, empty texts, ties, repeats and clashing columns."""
 
 import base64
+import bz2
 import functools
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import zlib
@@ -157,6 +159,18 @@ def test_secrets_in_whole_base64():
     assert kinds("a-long-name_of-something/without\nanything-behind-it-at-all") == set()
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, lambda x: gzip.compress(bz2.compress(x)), lambda x: gzip.compress(x[:90_000]) + gzip.compress(x[90_000:])])
+def test_secrets_beyond_a_block(pack):
+    dice = random.Random(9)
+    for secret in ("password=hunter22", base64.b64encode(b"AKIA" + b"Q" * 16 + b" and more").decode()):
+        for _ in range(6):
+            raw = " ".join(dice.choice(("über", "all", "log", "line")) for _ in range(30_000))
+            at = raw.index(" ", dice.randrange(len(raw) - 100))
+            text = "x " + base64.b64encode(pack((raw[:at] + " " + secret + raw[at:]).encode())).decode() + " y"
+            found = secrets.all_spans(text, 20_000)[1]
+            assert [s[:2] for s in found] == [(2, len(text) - 2)] and kinds(text) == kinds(text, most=20_000) == kinds(secret)
+
+
 @pytest.mark.parametrize("block", [4_000_000, 200])
 def test_decontamination(spark, docs, empty, block):
     t = texts()
