@@ -9,6 +9,9 @@ are mapped to the original text, an unwrapped stretch as a whole; they count if
 A compressed stretch that holds more than `most_unpacked` bytes is unwrapped and scanned, layers and all, in overlapping blocks of
 that size, which bounds what a text can do to a task's memory; no part is left out. One of broken data counts as far as it can be unwrapped.
 
+Decoded bytes are text if they are UTF-8 and nine tenths of it readable, or if they hold a secret when
+read as UTF-8, UTF-16 or Latin-1 with what can't be decoded replaced.
+
 Null or empty text: no spans. Repeated rows: one result each. Other columns are ignored.
 """
 
@@ -21,6 +24,7 @@ import codecs
 import hashlib
 import lzma
 import re
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
@@ -124,33 +128,51 @@ def readable(raw: bytes, most: int) -> tuple[str, frozenset[int]] | None:
     raw = b"".join(head)
     try:
         text = raw.decode("utf-8")
+        if text and mostly_readable(text):
+            return text, frozenset()
     except UnicodeDecodeError:
-        return None
-    return (text, frozenset()) if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+        pass
+    # other encodings, or bytes that merely hold some text: they count if they hold a secret
+    return next(((text, frozenset()) for code in encodings_of(raw) if inner_kinds(text := raw.decode(code, "replace"), most)), None)
+
+
+def mostly_readable(text: str) -> bool:
+    """Nine tenths are characters that texts have: also all kinds of spaces, joiners and marks of byte order."""
+    if text.isprintable():
+        return True
+    return sum(c.isprintable() or c in "\t\n\r\f\v" or unicodedata.category(c) in ("Zs", "Zl", "Zp", "Cf", "Co", "Cn") for c in text) >= 0.9 * len(text)
+
+
+def encodings_of(raw: bytes) -> list[str]:
+    """Encodings under which the ASCII letters of these bytes are read."""
+    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return ["utf-16", "utf-8"]
+    return ["utf-8", "utf-16-le", "utf-16-be", "latin-1"] if b"\0" in raw else ["utf-8", "latin-1"]
 
 
 def in_blocks(blocks: Iterable[bytes], most: int) -> tuple[str, frozenset[int]] | None:
-    """The start and end of a long text, and the kinds of secrets in any of it; blocks overlap and are cut where no encoded stretch goes on."""
-    decoder, held, start, end, found = codecs.getincrementaldecoder("utf-8")(), "", "", "", set()
-    for block in chain(blocks, [b""]):
-        try:
+    """The start and end of a long text, and the kinds of secrets in any of it; blocks overlap and are cut where no encoded stretch goes on.
+
+    It is read in each encoding that its first block may have."""
+    first = next(iter(blocks))
+    codes = encodings_of(first)
+    decoders = [codecs.getincrementaldecoder(c)("replace") for c in codes]
+    held, ends, found, good = [""] * len(codes), [("", "")] * len(codes), set(), False
+    for block in chain([first], blocks, [b""]):
+        for k, decoder in enumerate(decoders):
             text = decoder.decode(block, not block)
-        except UnicodeDecodeError:
-            return None
-        if not all(c.isprintable() or c in "\t\n\r" for c in text):
-            return None
-        held, start, end = held + text, (start + text)[:EDGE] if len(start) < EDGE else start, (end + text)[-EDGE:]
-        if block and len(held) < most:
-            continue
-        if not block:
-            found |= inner_kinds(held, most)
-            break
-        stop = last_break(held, len(held))
-        keep = last_break(held, stop - EDGE)
-        if keep:  # else an encoded stretch fills the block: it grows
-            found |= inner_kinds(held[:stop], most)
-            held = held[keep:]
-    return f"{start}\n\n{end}", frozenset(found)
+            good = good or (k == 0 and block is first and codes[0] == "utf-8" and text.count("\ufffd") <= 0.1 * len(text) and mostly_readable(text))
+            start, end = ends[k]
+            held[k], ends[k] = held[k] + text, ((start + text)[:EDGE] if len(start) < EDGE else start, (end + text)[-EDGE:])
+            if not block:
+                found |= inner_kinds(held[k], most)
+            elif len(held[k]) >= most:
+                stop = last_break(held[k], len(held[k]))
+                keep = last_break(held[k], stop - EDGE)
+                if keep:  # else an encoded stretch fills the block: it grows
+                    found |= inner_kinds(held[k][:stop], most)
+                    held[k] = held[k][keep:]
+    return ("\n\n".join(ends[0]), frozenset(found)) if good or found else None
 
 
 def last_break(text: str, before: int) -> int:

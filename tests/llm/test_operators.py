@@ -171,6 +171,17 @@ def test_secrets_beyond_a_block(pack):
             assert [s[:2] for s in found] == [(2, len(text) - 2)] and kinds(text) == kinds(text, most=20_000) == kinds(secret)
 
 
+@pytest.mark.parametrize("odd", ["mot\u00a0de", "全\u3000角", "\ufeff", "a\u200db\u200b", "\U0001f468\u200d\U0001f469", "page\f", "nul\0", "\1\2\3\4\5\6\7" * 20])
+@pytest.mark.parametrize("code", ["utf-8", "utf-16", "utf-16-le", "utf-16-be", "latin-1"])
+def test_secrets_among_odd_characters(odd, code):
+    raw = f"{odd} some words, é: password=hunter22 and the rest".encode(code, "ignore")
+    inner = base64.b64encode(raw)
+    for made in (inner.decode(), base64.b64encode(zlib.compress(raw)).decode(), base64.b64encode(inner + b" \xa0\xe9").decode(), "".join(f"%{x:02x}" for x in raw)):
+        assert kinds(f"see {made} end") == {0}
+    long = base64.b64encode(gzip.compress(raw[:0] + (odd + " log " * 9000).encode(code, "ignore") + raw[2 * (code == "utf-16") :])).decode()
+    assert kinds(f"see {long} end", most=20_000) == {0}
+
+
 @pytest.mark.parametrize("block", [4_000_000, 200])
 def test_decontamination(spark, docs, empty, block):
     t = texts()
