@@ -1,9 +1,9 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification (operator 4).
+"""N-gram Jaccard join by banded MinHash with exact verification (operator 4).
 
 Documents are sets of shingles of five words. Documents with the same set are one class from the
-start and take part once, with their number. Signatures form a forest of `trees` prefix tries; the
-length of the prefixes that have to match starts at `max_depth` and is shortened until the recall that it gives at
-the threshold reaches `recall`. What shares a prefix in any tree is put in one candidate block (by stars
+start and take part once, with their number. Signatures are cut into `trees` bands of one length, the
+longest up to `max_depth` whose recall at the threshold reaches `recall`; it is worked out beforehand, not found by
+shortening prefixes as in an LSH forest. What shares a band is put in one candidate block (by stars
 to the least member and connected components, so a bucket makes as many edges as members).
 All pairs of a block, not only those of a bucket, are then verified on the shingle sets
 themselves. A block of more than `most_in_block` texts is cut into parts and each two parts meet in a task
