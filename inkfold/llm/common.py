@@ -33,10 +33,11 @@ def id_and_text(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where it is unset (single machine)."""
+    """The folder named by spark.checkpoint.dir. Where it is unset: the warehouse, or a temporary folder if driver and executors are one local process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="inkfold-")
+        local = spark.sparkContext.master.startswith("local")
+        found = "file://" + tempfile.mkdtemp(prefix="inkfold-") if local else spark.conf.get("spark.sql.warehouse.dir")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -127,6 +128,28 @@ def slice_hashes(codes: np.ndarray, starts: np.ndarray, lens: np.ndarray, block:
     return out
 
 
+def sort_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order of 64-bit keys and the keys in it. One plain sort of the keys' first bits with their positions
+    behind them; the few runs in which different keys share their first bits are sorted once more."""
+    n = len(keys)
+    bits = max(1, int(n).bit_length())
+    low = np.uint64((1 << bits) - 1)
+    both = (keys & ~low) | np.arange(n, dtype=np.uint64)
+    both.sort()
+    order = (both & low).astype(np.int64)
+    both >>= np.uint64(bits)
+    ordered = keys[order]
+    mixed = np.flatnonzero((both[1:] == both[:-1]) & (ordered[1:] != ordered[:-1]))
+    last = 0
+    for at in mixed.tolist():
+        if at < last:
+            continue
+        first, last = int(np.searchsorted(both, both[at], "left")), int(np.searchsorted(both, both[at], "right"))
+        again = np.argsort(ordered[first:last], kind="stable")
+        order[first:last], ordered[first:last] = order[first:last][again], ordered[first:last][again]
+    return order, ordered
+
+
 # --- Arrow -----------------------------------------------------------------------------------
 
 

@@ -35,10 +35,10 @@ def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 def remove_repeats(docs: DataFrame, k: int = 20, m: int = 3) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the text that is left) of each text."""
 
-    def cut(data, off):
+    def cut(data, off, common):
         starts, ends, first = word_bounds(data, off, ~SPACE)
         buf, a, b = joined(data, starts, ends)
-        s, r, low = super_kmers(Spans(buf).hash(a, b), first, k, m)
+        s, r, low = super_kmers(Spans(buf).hash(a, b), first, k, m, common)
         text = np.searchsorted(first, s, "right") - 1
         start = s - first[text] if len(s) else s
         last = s + r + k - 2

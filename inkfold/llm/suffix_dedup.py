@@ -1,11 +1,11 @@
 """Suffix-array dedup by bucket-pointer refinement (operator 3).
 
 Removes each byte that is covered by a 50-byte string which also starts in a document with a
-smaller doc_id. The suffixes of all documents are dealt out by minimiser (see superkmers). Within
-a bucket they are first put into buckets of their q-gram of 16 bytes; then buckets of two or more are
-refined by sorting on (own bucket, bucket of the suffix some bytes later), and the refined bucket numbers
-are the keys of the next round, until suffixes of a bucket agree in 50 bytes. Buckets of one
-suffix drop out between rounds. What remains is compared byte by byte.
+smaller doc_id. The suffixes of all documents are dealt out by minimiser (see superkmers). There every
+suffix has a bucket pointer, at first that of its q-gram of 16 bytes. Rounds refine buckets by sorting on
+(own pointer, pointer of the suffix some bytes later) and write the refined pointers back, so a round looks up what the
+round before it has refined at later offsets: 16, 32 and at last 50 bytes. A suffix that is alone in its bucket,
+or that runs into one that is, drops out. What remains is compared byte by byte.
 
 Null text: as empty, nothing to remove. Texts under 50 bytes: nothing is removed. Rows that
 share a doc_id, whatever their texts, or have none: neither removes from the other. A null doc_id orders last. Other columns are ignored.
@@ -23,6 +23,7 @@ from inkfold.llm.common import ids_out, mix, ragged_index
 from inkfold.llm.superkmers import covered, find, groups, super_kmers
 
 Q = 16
+ALONE = np.int32(-1)
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 SEGMENT = 2_000_000
 
@@ -32,37 +33,49 @@ def eights(buf: np.ndarray) -> np.ndarray:
     return np.ndarray((max(0, len(buf) - 7),), "<u8", buffer=buf, strides=(1,))
 
 
-def refine(buf: np.ndarray, pos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Members (indexes into pos) of all groups of two or more equal k-byte strings, and where groups start."""
-    words = eights(buf)
-
-    def bucket(at: np.ndarray) -> np.ndarray:
-        return mix(words[at] * np.uint64(0x9E3779B97F4A7C15) ^ mix(words[at + 8]))
+def refine(buf: np.ndarray, at: np.ndarray, lens: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in buf of all groups of two or more equal k-byte strings inside the strings buf[at:][:lens], and where groups start.
 
-    member, start = groups(bucket(pos))
-    depth = Q
-    while depth < k and len(member):
-        step = min(depth, k - Q)  # offset of the bucket that is looked up; k - Q ends at k exactly
-        own = np.repeat(np.arange(len(start), dtype=np.uint64), np.diff(np.append(start, len(member))))
-        at, start = groups(mix(own * np.uint64(0xC2B2AE3D27D4EB4F) + bucket(pos[member] + step)))
-        member, depth = member[at], step + Q
+    pointer[p] is the bucket of the suffix at p, as a place in the sorted order (ALONE: no other suffix is in it).
+    In each round suffixes are sorted on (own bucket, bucket `step` further on); both agree in `depth` bytes, so refined buckets
+    agree in depth + step. The refined pointers replace the old ones and are those that the next round looks up."""
+    words = eights(buf)
+    pointer = np.full(len(buf), ALONE, np.int32)
+    depth, pos = Q, ragged_index(at, np.maximum(lens - Q + 1, 0))
+    member, start = groups(mix(words[pos] * np.uint64(0x9E3779B97F4A7C15) ^ mix(words[pos + 8])))
+    member = pos[member]
+    while True:
+        size = np.diff(np.append(start, len(member)))
+        pointer[member] = np.repeat(start, size)
+        if depth >= k:
+            break
+        step = min(depth, k - depth)
+        depth += step
+        pos = ragged_index(at, np.maximum(lens - depth + 1, 0))  # suffixes that have as many bytes
+        own, later = pointer[pos], pointer[pos + step]
+        live = (own != ALONE) & (later != ALONE)
+        pos = pos[live]
+        at_once = mix((own[live].astype(np.uint64) << np.uint64(32)) | later[live].astype(np.uint64))  # one to one
+        pointer[:] = ALONE
+        member, start = groups(at_once)
+        member = pos[member]
     if not len(member):
         return member, start
-    head = np.repeat(member[start], np.diff(np.append(start, len(member))))
+    head = np.repeat(member[start], size)
     offsets = [*range(0, k - 7, 8), k - 8]
-    if all((words[pos[member] + o] == words[pos[head] + o]).all() for o in offsets):
+    if all((words[member + o] == words[head + o]).all() for o in offsets):
         return member, start
-    keys = [words[pos[member] + o] for o in offsets]  # two strings share a bucket number: sort on the bytes themselves
+    keys = [words[member + o] for o in offsets]  # two q-grams share a hash: sort on the bytes themselves
     order = np.lexsort(keys)
     differ = np.any([x[order][1:] != x[order][:-1] for x in keys], axis=0)
-    at, start = groups(np.cumsum(np.concatenate([[0], differ])))
-    return member[order][at], start
+    among, start = groups(mix(np.cumsum(np.concatenate([[0], differ])).astype(np.uint64)))
+    return member[order][among], start
 
 
 def remove_repeats(docs: DataFrame, k: int = 50, m: int = 8) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges) of each text; k at least 32."""
 
-    def cut(data, off):
+    def cut(data, off, common):
         lens = np.diff(off)
         pieces = np.maximum(1, -(-lens // SEGMENT))  # of very long texts, with windows dealt among them
         text = np.repeat(np.arange(len(lens)), pieces)
@@ -73,7 +86,7 @@ def remove_repeats(docs: DataFrame, k: int = 50, m: int = 8) -> DataFrame:
         for a, b in runs(lo, hi):
             size = hi[a:b] - lo[a:b]
             first = np.concatenate([[0], np.cumsum(size)])
-            s, r, low = super_kmers(BYTES[data[ragged_index(lo[a:b], size)]], first, k, m)
+            s, r, low = super_kmers(BYTES[data[ragged_index(lo[a:b], size)]], first, k, m, common)
             seg = np.searchsorted(first, s, "right") - 1
             found.append((lo[a:b][seg] + s - first[seg], r, low, text[a:b][seg]))
         at, r, low, text = (np.concatenate([x[i] for x in found]) for i in range(4)) if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
@@ -92,20 +105,19 @@ def remove_repeats(docs: DataFrame, k: int = 50, m: int = 8) -> DataFrame:
     cut.units = lambda buf, at, lens: lens
 
     def search(buf, at, lens, doc, start):
-        windows = lens - k + 1
-        pos, owner = ragged_index(at, windows), np.repeat(np.arange(len(at)), windows)
-        member, first = refine(buf, pos, k)
+        member, first = refine(buf, at, lens, k)
         if not len(member):
             return [np.zeros(0, np.int64)] * 3
-        ids = doc[owner[member]]
+        owner_of = lambda p: np.searchsorted(at, p, "right") - 1
+        ids = doc[owner_of(member)]
         hit = np.sort(member[ids > np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(member))))])
         if not len(hit):
             return [np.zeros(0, np.int64)] * 3
         edge = np.ones(len(hit), bool)
-        edge[1:] = (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])
+        edge[1:] = hit[1:] != hit[:-1] + 1  # strings lie k - 1 places apart at least, so no run goes on from one to the next
         a, b = hit[edge], hit[np.append(edge[1:], True)]
-        own = owner[a]
-        return own, start[own] + pos[a] - at[own], start[own] + pos[b] - at[own] + k
+        own = owner_of(a)
+        return own, start[own] + a - at[own], start[own] + b - at[own] + k
 
     def finish(ids, data, off, stretches):
         out = []

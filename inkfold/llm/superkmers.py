@@ -7,6 +7,11 @@ windows of all documents meet there. Strings that are equal as a whole are folde
 task that cuts them and again in the bucket: all but the earliest are repeats throughout. So a text
 that a third of all documents share reaches its bucket once for each task, not once for each document.
 
+Grams that are so common that their windows would overfill a bucket come last in the order of grams: a window takes
+one of them for its minimiser only if it has no other. So the windows around a common expression are dealt out by what
+else they hold, and those that lie wholly inside it are equal strings, which are folded. The weights of minimisers
+are counted over all texts beforehand; at most `COMMON` grams can be that common, which bounds their broadcast.
+
 Blocks of packed arrays are zstd-compressed and travel as single rows. Buckets and parts are as
 many as the input's bytes ask for, so a task's memory doesn't grow with the input.
 """
@@ -21,11 +26,13 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from inkfold.llm.common import chunks, id_and_text, mix, ragged_equal, ragged_index, slice_hashes, text_arrays, text_bytes
+from inkfold.llm.common import chunks, id_and_text, mix, ragged_equal, ragged_index, slice_hashes, sort_order, text_arrays, text_bytes
 
 FLUSH = 12_000_000  # bytes of text whose super-k-mers are folded and sent together
 BUCKET = 6_000_000  # bytes of packed strings that a bucket is to hold
+COMMON = 1 << 20  # grams that may count as common: 8 bytes each
 PART = 8_000_000  # bytes of text whose results are worked out together
 BLOCK = "bucket int, kind int, payload binary"
 STRINGS, REPEATS, TEXTS = 0, 1, 2
@@ -48,7 +55,23 @@ def load(raw: bytes) -> list[np.ndarray]:
     return out
 
 
-def super_kmers(units: np.ndarray, first: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+NONE = np.zeros(0, np.uint64)
+LAST = np.uint64(1 << 63)
+
+
+def rank_grams(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """63 bits for each gram's place in the order; common ones (sorted ranks) come after all others."""
+    rank = mix(grams) >> np.uint64(1)
+    if len(common):
+        maybe = np.zeros(1 << 16, bool)
+        maybe[common >> np.uint64(47)] = True
+        at = np.flatnonzero(maybe[rank >> np.uint64(47)])
+        near = np.minimum(np.searchsorted(common, rank[at]), len(common) - 1)
+        rank[at[common[near] == rank[at]]] |= LAST
+    return rank
+
+
+def super_kmers(units: np.ndarray, first: np.ndarray, k: int, m: int, common: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, number of windows and minimiser of each super-k-mer. units: a hash of each unit;
     first: the first unit of each text (one more than texts)."""
     n = len(units) - k + 1
@@ -59,7 +82,7 @@ def super_kmers(units: np.ndarray, first: np.ndarray, k: int, m: int) -> tuple[n
         step = min(size, m - size)
         grams = grams[:-step] * np.uint64(0xC2B2AE3D27D4EB4F + 2 * size) + grams[step:]
         size += step
-    low, size, want = mix(grams), 1, k - m + 1
+    low, size, want = rank_grams(grams, common), 1, k - m + 1
     while size < want:  # least hash of 1, 2, 4, ... and at last all grams of a window
         step = min(size, want - size)
         low = np.minimum(low[:-step], low[step:])
@@ -80,8 +103,7 @@ def super_kmers(units: np.ndarray, first: np.ndarray, k: int, m: int) -> tuple[n
 
 def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Members of all groups of two or more equal keys, a group after the other, and where groups start."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
+    order, ordered = sort_order(keys)
     edge = np.ones(len(keys) + 1, bool)
     edge[1:-1] = ordered[1:] != ordered[:-1]
     alone = edge[1:] & edge[:-1]
@@ -144,14 +166,52 @@ def repeats_out(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.nda
     return [(p, REPEATS, dump(doc[i], tag[i], start[i], end[i])) for p, i in by_number(part_of(doc, tag, n_parts))]
 
 
+def minimiser_weights(docs: DataFrame, cut: Callable, share: float) -> DataFrame:
+    """gram, weight: bytes of packed strings of each minimiser that makes up `share` of all or more. A task lets go of what is below an
+    eighth of that share of its own, so a weight may be too low by that much, and a task holds 8 / share grams at most between two clearings."""
+
+    def run(batches):
+        low, weight, pending, total = NONE, np.zeros(0, np.int64), [], 0
+
+        def cleared():
+            own = np.concatenate([low, *(p[0] for p in pending)])
+            order, own = sort_order(own)
+            head = np.flatnonzero(np.concatenate([np.ones(min(len(own), 1), bool), own[1:] != own[:-1]]))
+            sums = np.add.reduceat(np.concatenate([weight, *(p[1] for p in pending)])[order], head) if len(head) else weight
+            keep = sums >= total * share / 8
+            return own[head][keep], sums[keep]
+
+        for batch in batches:
+            _, data, off = text_arrays(batch)
+            for lo, hi in chunks(off, 2_000_000):
+                _, _, lens, _, _, _, own = cut(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], NONE)
+                pending.append((own, lens))
+                total += int(lens.sum())
+            if sum(len(p[0]) for p in pending) > 1_000_000:
+                low, weight = cleared()
+                pending = []
+        low, weight = cleared()
+        yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(weight)], ["gram", "weight"])
+
+    return docs.mapInArrow(run, "gram long, weight long").groupBy("gram").agg(F.sum("weight").alias("weight"))
+
+
+def common_grams(docs: DataFrame, cut: Callable, packed: float) -> np.ndarray:
+    """Sorted minimisers that would fill more than half a bucket; at most COMMON. packed: bytes of all packed strings."""
+    limit = max(BUCKET / 2, packed / COMMON)
+    found = minimiser_weights(docs, cut, limit / max(packed, 1)).filter(F.col("weight") >= limit * 0.75).select("gram").toLocalIterator()
+    return np.sort(np.fromiter((r.gram for r in found), np.int64).view(np.uint64))
+
+
 def find(docs: DataFrame, cut: Callable, search: Callable, finish: Callable, schema: str) -> DataFrame:
-    """cut(data, off) -> buf, at, lens, text, start, end, minimiser of super-k-mers (start, end: units of the text);
+    """cut(data, off, common) -> buf, at, lens, text, start, end, minimiser of super-k-mers (start, end: units of the text);
     search(buf, at, lens, doc, start) -> string (its index), start, end of repeated stretches;
     finish(ids, data, off, stretches) -> rows of the result, stretches being (starts, ends) for each text. cut.later: rank of occurrences, as fold() takes it."""
     docs = id_and_text(docs)
     total = text_bytes(docs)
     n_buckets, n_parts = max(1, -(-total * 10 // (3 * BUCKET))), max(1, -(-total // PART))
     later = cut.later
+    common = docs.sparkSession.sparkContext.broadcast(common_grams(docs, cut, total * 10 / 3))  # 8 * COMMON bytes at most
 
     def send(held: list[tuple]) -> list[tuple[int, int, bytes]]:
         base = np.cumsum([0, *[len(x[0]) for x in held]])
@@ -174,7 +234,7 @@ def find(docs: DataFrame, cut: Callable, search: Callable, finish: Callable, sch
             ids, data, off = text_arrays(batch)
             tag = tags(data, off)
             for lo, hi in chunks(off, 2_000_000):
-                buf, at, lens, text, start, end, low = cut(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                buf, at, lens, text, start, end, low = cut(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], common.value)
                 held.append((buf, at, lens, ids[lo:hi][text], tag[lo:hi][text], start, end, low, slice_hashes(buf, at, lens)))
                 size += len(buf)
                 if size >= FLUSH:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from inkfold.llm import decontamination, near_duplicates, packing, quality_rules, secrets, substring_dedup, suffix_dedup, token_counts, toxicity, url_reputation
+from inkfold.llm import common, decontamination, near_duplicates, packing, quality_rules, secrets, substring_dedup, suffix_dedup, superkmers, token_counts, toxicity, url_reputation
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, key1 string, node string"
@@ -77,7 +77,9 @@ def test_token_counts(docs, empty):
     assert token_counts.count_tokens(empty, PATH, 50).count() == 0
 
 
-def test_suffix_dedup(docs, empty):
+@pytest.mark.parametrize("bucket", [superkmers.BUCKET, 300])  # of 300 bytes: many buckets, and grams that count as common
+def test_suffix_dedup(docs, empty, bucket, monkeypatch):
+    monkeypatch.setattr(superkmers, "BUCKET", bucket)
     enc = {k: (t or "").encode() for k, t in texts().items()}
     least: dict[bytes, int] = {}
     for k, b in enc.items():
@@ -93,7 +95,9 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-def test_substring_dedup(docs, empty):
+@pytest.mark.parametrize("bucket", [superkmers.BUCKET, 300])
+def test_substring_dedup(docs, empty, bucket, monkeypatch):
+    monkeypatch.setattr(superkmers, "BUCKET", bucket)
     split = {k: re.findall(WORD, t or "") for k, t in texts().items()}
     first: dict[tuple, tuple] = {}
     for k, w in sorted(split.items()):
@@ -109,6 +113,24 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_sort_order():
+    keys = np.random.default_rng(1).integers(0, 50, 5000, np.uint64)  # differ in last bits only
+    keys[::3] += np.uint64(1 << 63)
+    order, ordered = common.sort_order(keys)
+    assert (order == np.argsort(keys, kind="stable")).all() and (ordered == np.sort(keys)).all()
+    assert not len(common.sort_order(keys[:0])[0])
+
+
+def test_common_grams_come_last():
+    units = np.random.default_rng(2).integers(1, 1 << 62, 400, np.uint64)
+    first = np.array([0, 150, 400])
+    starts, counts, low = superkmers.super_kmers(units, first, 20, 3)
+    rare = np.unique(low)[::2]
+    s, n, again = superkmers.super_kmers(units, first, 20, 3, rare)
+    assert sorted(superkmers.ragged_index(s, n)) == sorted(superkmers.ragged_index(starts, counts))
+    assert not np.isin(again, rare).any() and np.isin(again ^ superkmers.LAST, rare)[again >= superkmers.LAST].all()
+
+
 def classes() -> dict[int, tuple[int, int]]:
     sets = {}
     for k, t in texts().items():
