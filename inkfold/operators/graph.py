@@ -17,7 +17,7 @@ def broken_links(links: DataFrame, docs: DataFrame) -> DataFrame:
 def names_of(docs: DataFrame, aliases: DataFrame) -> DataFrame:
     """name, id: everything a link can call a document by; one equi-join instead of a disjunction."""
     ids = docs.select(F.col("id").alias("name"), "id")
-    return ids.unionByName(docs.select(F.col("path").alias("name"), "id")).unionByName(aliases.select(F.col("alias").alias("name"), F.col("doogat_id").alias("id"))).distinct()
+    return ids.unionByName(docs.select(F.col("path").alias("name"), "id")).unionByName(aliases.select(F.col("alias").alias("name"), F.col("document_id").alias("id"))).distinct()
 
 
 def inbound(links: DataFrame, docs: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def link_density(docs: DataFrame, links: DataFrame, aliases: DataFrame) -> DataF
 
 def tag_similarity(tags: DataFrame, source: str) -> DataFrame:
     """id, score: Jaccard of tag sets with one document; only documents that share a tag."""
-    tags = tags.select(F.col("doogat_id").alias("id"), "tag").distinct()
+    tags = tags.select(F.col("document_id").alias("id"), "tag").distinct()
     mine = tags.filter(F.col("id") == source).select("tag")
     n = mine.count()
     sizes = tags.groupBy("id").agg(F.count("*").alias("n"))
@@ -59,18 +59,6 @@ def recent(docs: DataFrame, cutoff: str) -> DataFrame:
     return docs.select("id", when.alias("effective")).filter(F.col("effective") >= cutoff).orderBy(F.desc("effective"), "id")
 
 
-def sequence_paths(parents: DataFrame, most: int = 100) -> DataFrame:
-    """id, depth, path (root first, comma-joined) of each node of id -> parent (null at roots), by a recursive query;
-    nodes that no root leads to, as in cycles, have no row."""
-    spark = parents.sparkSession
-    text = f"""
-WITH RECURSIVE walk(id, depth, path) AS (
-  SELECT id, 0, CAST(id AS STRING) FROM {{parents}} WHERE parent IS NULL
-  UNION ALL SELECT p.id, w.depth + 1, concat(w.path, ',', p.id) FROM {{parents}} p JOIN walk w ON p.parent = w.id WHERE w.depth < {most - 1})
-SELECT id, depth, path FROM walk"""
-    return spark.sql(text, parents=parents)
-
-
 def last_write(states: DataFrame, key: str, clock: list[str], value: str) -> DataFrame:
     """The value with the highest clock of each key; equal clocks: the greater value."""
     return states.groupBy(key).agg(F.max_by(value, F.struct(*clock, value)).alias(value))

@@ -46,13 +46,25 @@ def duplicates(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.dropna(subset=columns).groupBy(*columns).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def row_numbers(rows: DataFrame, order: list[str], column: str) -> DataFrame:
+    """rows with numbers from 1 in an order that tells all of them apart: sorted ranges are numbered side by side, and each range
+    goes on where those before it have ended. One row for each range meets in one task, nothing else."""
+    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_size")).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_nth", nth).join(F.broadcast(before), "_part").withColumn(column, (F.col("_before") + F.col("_nth"))).drop("_part", "_nth", "_before")
+
+
 def numbered(rows: DataFrame, existing: DataFrame, column: str, order: str, partition: str | None = None) -> DataFrame:
     """rows with the next numbers after the greatest existing one (of their partition)."""
     by = [partition] if partition else []
     highest = existing.groupBy(*by).agg(F.max(column).alias("_max"))
-    joined = rows.join(highest, partition, "left") if partition else rows.join(F.broadcast(highest))
-    nth = F.row_number().over((Window.partitionBy(partition) if partition else Window.partitionBy()).orderBy(order))
-    return joined.withColumn(column, F.coalesce("_max", F.lit(0)) + nth).drop("_max")
+    if partition:
+        joined = rows.join(highest, partition, "left").withColumn("_n", F.row_number().over(Window.partitionBy(partition).orderBy(order)))
+    else:
+        joined = row_numbers(rows, [order], "_n").join(F.broadcast(highest))  # one row
+    return joined.withColumn(column, F.coalesce("_max", F.lit(0)) + F.col("_n")).drop("_max", "_n")
 
 
 def insert_or_nothing(rows: DataFrame, existing: DataFrame, unique: list[str], order: str) -> DataFrame:
@@ -66,12 +78,3 @@ def violations(rows: DataFrame, key: str, checks: dict[str, Column]) -> DataFram
     """key, error for each failed check of each row."""
     errors = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), name) for name, c in checks.items())))
     return rows.select(key, F.explode(errors).alias("error"))
-
-
-def cascade(edges: DataFrame, roots: DataFrame, most: int = 50) -> DataFrame:
-    """Everything that goes with the roots along child -> parent edges, each once."""
-    text = f"""
-WITH RECURSIVE gone(id, depth) AS (
-  SELECT id, 0 FROM {{roots}} UNION ALL SELECT e.child, g.depth + 1 FROM {{edges}} e JOIN gone g ON e.parent = g.id WHERE g.depth < {most})
-SELECT DISTINCT id FROM gone"""
-    return edges.sparkSession.sql(text, roots=roots, edges=edges)

@@ -59,29 +59,29 @@ def link_table(docs: DataFrame) -> DataFrame:
 
 
 def checkbox_table(docs: DataFrame) -> DataFrame:
-    """doogat_id, state, content, date, due_date, line_number (from 1), indent_level of every checkbox line."""
-    rows = docs.select(F.col("id").alias("doogat_id"), F.posexplode(lines(F.col("body"))).alias("at", "line")).filter(F.col("line").rlike(CHECKBOX))
+    """document_id, state, content, date, due_date, line_number (from 1), indent_level of every checkbox line."""
+    rows = docs.select(F.col("id").alias("document_id"), F.posexplode(lines(F.col("body"))).alias("at", "line")).filter(F.col("line").rlike(CHECKBOX))
     mark, text = F.regexp_extract("line", CHECKBOX, 2), F.regexp_extract("line", CHECKBOX, 3)
     state = F.when(mark == "x", "done").when(mark == "i", "info").otherwise("open")
     dated = r"^(\d{4}-\d{2}-\d{2}(?: \d{2}:\d{2})?) - (.*)$"
     date = F.when(text.rlike(dated), F.regexp_extract(text, dated, 1))
     due = F.when(text.rlike(r"⏳ \d{4}-\d{2}-\d{2}"), F.regexp_extract(text, r"⏳ (\d{4}-\d{2}-\d{2})", 1))
     content = F.trim(F.when(text.rlike(dated), F.regexp_extract(text, dated, 2)).otherwise(text))
-    return rows.select("doogat_id", state.alias("state"), content.alias("content"), date.alias("date"), due.alias("due_date"), (F.col("at") + 1).alias("line_number"), F.length(F.regexp_extract("line", CHECKBOX, 1)).alias("indent_level"))
+    return rows.select("document_id", state.alias("state"), content.alias("content"), date.alias("date"), due.alias("due_date"), (F.col("at") + 1).alias("line_number"), F.length(F.regexp_extract("line", CHECKBOX, 1)).alias("indent_level"))
 
 
 def field_table(docs: DataFrame) -> DataFrame:
-    """doogat_id, key, value of inline fields; of a key that repeats the first counts; [[x|y]] is read as x."""
-    rows = docs.select(F.col("id").alias("doogat_id"), F.posexplode(lines(F.col("body"))).alias("at", "line")).filter(F.col("line").rlike(FIELD))
+    """document_id, key, value of inline fields; of a key that repeats the first counts; [[x|y]] is read as x."""
+    rows = docs.select(F.col("id").alias("document_id"), F.posexplode(lines(F.col("body"))).alias("at", "line")).filter(F.col("line").rlike(FIELD))
     value = F.trim(F.regexp_replace(F.regexp_extract("line", FIELD, 2), r"\[\[([^\]|]*)(?:\|[^\]]*)?\]\]", "$1"))
-    rows = rows.select("doogat_id", F.trim(F.regexp_extract("line", FIELD, 1)).alias("key"), value.alias("value"), "at")
-    return rows.groupBy("doogat_id", "key").agg(F.min_by("value", "at").alias("value"))
+    rows = rows.select("document_id", F.trim(F.regexp_extract("line", FIELD, 1)).alias("key"), value.alias("value"), "at")
+    return rows.groupBy("document_id", "key").agg(F.min_by("value", "at").alias("value"))
 
 
 def tag_table(docs: DataFrame) -> DataFrame:
-    """doogat_id, tag, source: frontmatter tags and hashtags of the body."""
-    front = docs.select(F.col("id").alias("doogat_id"), F.explode("tags").alias("tag"), F.lit("frontmatter").alias("source"))
-    return front.unionByName(docs.select(F.col("id").alias("doogat_id"), F.explode(body_tags(F.col("body"))).alias("tag"), F.lit("body").alias("source")))
+    """document_id, tag, source: frontmatter tags and hashtags of the body."""
+    front = docs.select(F.col("id").alias("document_id"), F.explode("tags").alias("tag"), F.lit("frontmatter").alias("source"))
+    return front.unionByName(docs.select(F.col("id").alias("document_id"), F.explode(body_tags(F.col("body"))).alias("tag"), F.lit("body").alias("source")))
 
 
 def rename_links(body: Column, old: str, new: str) -> Column:

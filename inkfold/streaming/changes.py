@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 
 def change_events(events: DataFrame) -> DataFrame:
-    """kind, doogat_id, doogat_type, timestamp of each change."""
+    """kind, document_id, document_type, timestamp of each change."""
     kind = F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "error", "deleted").otherwise("updated")
-    return events.select(kind.alias("kind"), F.col("event_id").alias("doogat_id"), F.col("event_type").alias("doogat_type"), F.col("ts").alias("timestamp"))
+    return events.select(kind.alias("kind"), F.col("event_id").alias("document_id"), F.col("event_type").alias("document_type"), F.col("ts").alias("timestamp"))
 
 
-def subscribe(spark: SparkSession, folder: str, kind: str | None = None, doogat_type: str | None = None, documents: DataFrame | None = None, key: str = "id") -> DataFrame:
+def subscribe(spark: SparkSession, folder: str, kind: str | None = None, document_type: str | None = None, documents: DataFrame | None = None, key: str = "id") -> DataFrame:
     """A stream of changes from a folder of event files, of one kind or type, joined with the documents as they are now unless deleted."""
     schema = spark.read.parquet(folder).schema
     found = change_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(folder))
     if kind:
         found = found.filter(F.col("kind") == kind)
-    if doogat_type:
-        found = found.filter(F.col("doogat_type") == doogat_type)
+    if document_type:
+        found = found.filter(F.col("document_type") == document_type)
     if documents is not None:
-        found = found.join(documents, (found.doogat_id == documents[key]) & (F.col("kind") != "deleted"), "left")
+        found = found.join(documents, (found.document_id == documents[key]) & (F.col("kind") != "deleted"), "left")
     return found

@@ -156,9 +156,9 @@ sql("AGG_11_violations", "SELECT count(*) AS n FROM customer WHERE length(c_name
 MARKUP = r"""concat('Text #t', cast({k} % 7 AS {s}), ' and #area/a', cast({k} % 3 AS {s}), ' `#no`', chr(10), 'status:: s', cast({k} % 4 AS {s}), chr(10), 'status:: later', chr(10),
  '- [x] 2024-01-0', cast({k} % 9 + 1 AS {s}), ' - done it', chr(10), '  - [ ] call ⏳ 2024-05-01', chr(10), 'see [[', cast({k} * 7 % 500 AS {s}), '|name]] ![[img', cast({k} % 5 AS {s}), '.png]] [a](x', cast({k} % 6 AS {s}), '.md) https://e.org/', cast({k} % 11 AS {s}), '.')"""
 MARKED = "(SELECT cast(doc_id AS VARCHAR) AS id, " + MARKUP.format(k="doc_id", s="VARCHAR") + " AS body FROM documents)"
-LINKS = "(SELECT cast(doc_id AS VARCHAR) AS source_id, CASE WHEN doc_id % 2 = 0 THEN cast(doc_id * 7 % 1200 AS VARCHAR) ELSE 'ddb/' || cast(doc_id * 11 % 1200 AS VARCHAR) || '.md' END AS target FROM documents)"
-ALIASES = "(SELECT cast(doc_id AS VARCHAR) AS doogat_id, 'alias' || cast(doc_id AS VARCHAR) AS alias FROM documents WHERE doc_id % 10 = 0)"
-DOCS = "(SELECT cast(doc_id AS VARCHAR) AS id, 'ddb/' || cast(doc_id AS VARCHAR) || '.md' AS path, lang AS type FROM documents)"
+LINKS = "(SELECT cast(doc_id AS VARCHAR) AS source_id, CASE WHEN doc_id % 2 = 0 THEN cast(doc_id * 7 % 1200 AS VARCHAR) ELSE 'docs/' || cast(doc_id * 11 % 1200 AS VARCHAR) || '.md' END AS target FROM documents)"
+ALIASES = "(SELECT cast(doc_id AS VARCHAR) AS document_id, 'alias' || cast(doc_id AS VARCHAR) AS alias FROM documents WHERE doc_id % 10 = 0)"
+DOCS = "(SELECT cast(doc_id AS VARCHAR) AS id, 'docs/' || cast(doc_id AS VARCHAR) || '.md' AS path, lang AS type FROM documents)"
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +166,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(400)).cast("int")), "yyyy-MM-dd")
     return d.select(
         F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 40).alias("title"), day.alias("date"), F.col("lang").alias("type"), F.col("text").alias("body"), F.array("lang", "source").alias("tags"),
-        F.concat(F.lit("ddb/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit("2024-12-31").alias("updated_at"), "doc_id",
+        F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit("2024-12-31").alias("updated_at"), "doc_id",
     )
 
 
@@ -176,12 +176,12 @@ def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
-    target = F.when(F.col("doc_id") % 2 == 0, (F.col("doc_id") * 7 % 1200).cast("string")).otherwise(F.concat(F.lit("ddb/"), (F.col("doc_id") * 11 % 1200).cast("string"), F.lit(".md")))
+    target = F.when(F.col("doc_id") % 2 == 0, (F.col("doc_id") * 7 % 1200).cast("string")).otherwise(F.concat(F.lit("docs/"), (F.col("doc_id") * 11 % 1200).cast("string"), F.lit(".md")))
     return d.select(F.col("doc_id").cast("string").alias("source_id"), target.alias("target"))
 
 
 def alias_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").filter("doc_id % 10 = 0").select(F.col("doc_id").cast("string").alias("doogat_id"), F.concat(F.lit("alias"), F.col("doc_id").cast("string")).alias("alias"))
+    return read(spark, sf_dir, "documents").filter("doc_id % 10 = 0").select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("alias"), F.col("doc_id").cast("string")).alias("alias"))
 
 
 @query("SRC_01_scan", "SELECT cast(doc_id AS VARCHAR) AS id, substr(text, 1, 40) AS title, lang AS type FROM documents")
@@ -199,7 +199,7 @@ def _(spark, sf_dir):
     return corpus(spark, sf_dir).join(F.broadcast(spark.createDataFrame([("3",), ("5",), ("8",), ("none",)], "id string")), "id", "left_semi").select("id")
 
 
-@query("SRC_06_change_feed", "SELECT path, CASE WHEN doc_id % 10 = 0 THEN 'Deleted' WHEN doc_id % 10 = 1 THEN 'Added' ELSE 'Modified' END AS kind FROM (SELECT doc_id, 'ddb/' || cast(doc_id AS VARCHAR) || '.md' AS path FROM documents) t WHERE doc_id % 10 IN (0, 1, 2)")
+@query("SRC_06_change_feed", "SELECT path, CASE WHEN doc_id % 10 = 0 THEN 'Deleted' WHEN doc_id % 10 = 1 THEN 'Added' ELSE 'Modified' END AS kind FROM (SELECT doc_id, 'docs/' || cast(doc_id AS VARCHAR) || '.md' AS path FROM documents) t WHERE doc_id % 10 IN (0, 1, 2)")
 def _(spark, sf_dir):
     d = corpus(spark, sf_dir).withColumn("content", F.col("body"))
     return parse.changes(d.filter("doc_id % 10 <> 1"), d.filter("doc_id % 10 <> 0").withColumn("content", F.when(F.expr("doc_id % 10 = 2"), F.concat("body", F.lit("!"))).otherwise(F.col("body"))))
@@ -219,12 +219,12 @@ def _(spark, sf_dir):
     return marked(spark, sf_dir).select("id", F.explode(parse.body_tags(F.col("body"))).alias("tag"))
 
 
-@query("PRS_05_checkboxes", f"SELECT id AS doogat_id, 'done' AS state, 'done it' AS content, '2024-01-0' || cast(cast(id AS INT) % 9 + 1 AS VARCHAR) AS date, NULL::VARCHAR AS due_date, 4 AS line_number, 0 AS indent_level FROM {MARKED} UNION ALL SELECT id, 'open', 'call ⏳ 2024-05-01', NULL, '2024-05-01', 5, 2 FROM {MARKED}")
+@query("PRS_05_checkboxes", f"SELECT id AS document_id, 'done' AS state, 'done it' AS content, '2024-01-0' || cast(cast(id AS INT) % 9 + 1 AS VARCHAR) AS date, NULL::VARCHAR AS due_date, 4 AS line_number, 0 AS indent_level FROM {MARKED} UNION ALL SELECT id, 'open', 'call ⏳ 2024-05-01', NULL, '2024-05-01', 5, 2 FROM {MARKED}")
 def _(spark, sf_dir):
     return parse.checkbox_table(marked(spark, sf_dir))
 
 
-@query("PRS_06_fields", f"SELECT id AS doogat_id, 'status' AS key, regexp_extract(body, 'status:: ([^\\n]*)', 1) AS value FROM {MARKED}")
+@query("PRS_06_fields", f"SELECT id AS document_id, 'status' AS key, regexp_extract(body, 'status:: ([^\\n]*)', 1) AS value FROM {MARKED}")
 def _(spark, sf_dir):
     return parse.field_table(marked(spark, sf_dir))
 
@@ -245,7 +245,7 @@ def _(spark, sf_dir):
     return marked(spark, sf_dir).filter("doc_id % 5 = 1").select("id", parse.rename_links(F.col("body"), "img1.png", "new.png").alias("body"))
 
 
-@query("PRS_16_tag_table", f"SELECT id AS doogat_id, tag, source FROM (SELECT cast(doc_id AS VARCHAR) AS id, unnest([lang, source]) AS tag, 'frontmatter' AS source FROM documents UNION ALL SELECT id, unnest(['t' || cast(cast(id AS INT) % 7 AS VARCHAR), 'area/a' || cast(cast(id AS INT) % 3 AS VARCHAR)]), 'body' FROM {MARKED})")
+@query("PRS_16_tag_table", f"SELECT id AS document_id, tag, source FROM (SELECT cast(doc_id AS VARCHAR) AS id, unnest([lang, source]) AS tag, 'frontmatter' AS source FROM documents UNION ALL SELECT id, unnest(['t' || cast(cast(id AS INT) % 7 AS VARCHAR), 'area/a' || cast(cast(id AS INT) % 3 AS VARCHAR)]), 'body' FROM {MARKED})")
 def _(spark, sf_dir):
     return parse.tag_table(marked(spark, sf_dir))
 
@@ -277,7 +277,7 @@ def _(spark, sf_dir):
 
 # --- graph ------------------------------------------------------------------------------------
 
-NAMES = f"(SELECT id AS name, id FROM {DOCS} UNION SELECT path, id FROM {DOCS} UNION SELECT alias, doogat_id FROM {ALIASES})"
+NAMES = f"(SELECT id AS name, id FROM {DOCS} UNION SELECT path, id FROM {DOCS} UNION SELECT alias, document_id FROM {ALIASES})"
 
 
 @query("GR_04_broken_links", f"SELECT DISTINCT source_id, target FROM {LINKS} l WHERE NOT EXISTS (SELECT 1 FROM documents WHERE cast(doc_id AS VARCHAR) = l.target)")
@@ -297,7 +297,7 @@ def _(spark, sf_dir):
 
 @query("GR_07_tag_similarity", "WITH t AS (SELECT cast(doc_id AS VARCHAR) AS id, unnest([lang, source]) AS tag FROM documents) SELECT b.id, round(count(*) / (4.0 - count(*)), 6) AS score FROM t a JOIN t b ON a.tag = b.tag WHERE a.id = '10' AND b.id <> '10' GROUP BY b.id")
 def _(spark, sf_dir):
-    tags = corpus(spark, sf_dir).select(F.col("id").alias("doogat_id"), F.explode("tags").alias("tag"))
+    tags = corpus(spark, sf_dir).select(F.col("id").alias("document_id"), F.explode("tags").alias("tag"))
     return graph.tag_similarity(tags, "10").select("id", F.round("score", 6).alias("score"))
 
 
@@ -445,7 +445,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     k = F.col("c_custkey").cast("string")
     return read(spark, sf_dir, "customer").select(
-        "c_custkey", scalars.kebab_case(F.replace("c_name", F.lit("#"), F.lit(" x"))).alias("key"), scalars.title_from_path(F.concat(F.lit("ddb/20240307120000-my_note"), k, F.lit(".md"))).alias("title"), scalars.boolean_value(F.lit("Yes")).alias("yes"),
+        "c_custkey", scalars.kebab_case(F.replace("c_name", F.lit("#"), F.lit(" x"))).alias("key"), scalars.title_from_path(F.concat(F.lit("docs/20240307120000-my_note"), k, F.lit(".md"))).alias("title"), scalars.boolean_value(F.lit("Yes")).alias("yes"),
         scalars.date_from_id(F.lit("20240307120000")).alias("day"), scalars.media_type(F.concat(F.lit("a."), F.lit("PNG"))).alias("media"), scalars.template_title("{seg} for {id} {gone}", {"seg": F.col("c_mktsegment"), "id": k}, F.lit("customer"), k).alias("named"),
     )
 
@@ -488,7 +488,7 @@ sql("DEL_27_json", "SELECT event_id, cast(get_json_object(props, '$.k') AS BIGIN
 def _(spark, sf_dir):
     from inkfold.streaming.changes import change_events
 
-    return change_events(read(spark, sf_dir, "events")).filter("doogat_type <> 'view'").select(F.col("doogat_id").alias("event_id"), "kind")
+    return change_events(read(spark, sf_dir, "events")).filter("document_type <> 'view'").select(F.col("document_id").alias("event_id"), "kind")
 
 
 
@@ -548,7 +548,7 @@ def consistency(spark, sf_dir):
     k, key = F.col("doc_id") % 4, F.col("doc_id").cast("string")
     due = k == 0
     docs = read(spark, sf_dir, "documents").select(
-        key.alias("id"), F.concat(F.lit("ddb/20240101000000-note-"), key, F.lit(".md")).alias("path"), F.when(k != 2, F.concat(F.lit(" draft "), key)).alias("title"), F.when(k != 1, "note").alias("type"),
+        key.alias("id"), F.concat(F.lit("docs/20240101000000-note-"), key, F.lit(".md")).alias("path"), F.when(k != 2, F.concat(F.lit(" draft "), key)).alias("title"), F.when(k != 1, "note").alias("type"),
         F.array(F.lit("#b"), F.lit("B"), F.lit("a")).alias("tags"), F.when(due, F.create_map(F.lit("dueDate"), F.lit("x"))).alias("meta"), F.when(due, F.array(F.lit("dueDate"))).alias("inline_keys"), F.lit(None).cast("string").alias("h1"),
     )
     return fixers.fixes(docs, {"status": "open"})

@@ -29,7 +29,7 @@ def test_stemmed_search(spark):
 def test_fixes(spark):
     schema = "id string, path string, title string, type string, tags array<string>, meta map<string,string>, inline_keys array<string>, h1 string"
     rows = [
-        ("1", "ddb/20240101000000-my_note.md", "Good", "note", ["a", "b"], {"due": "x"}, ["other"], "Good"), ("2", "ddb/20240101000000-my_note.md", None, None, None, None, None, None),
+        ("1", "docs/20240101000000-my_note.md", "Good", "note", ["a", "b"], {"due": "x"}, ["other"], "Good"), ("2", "docs/20240101000000-my_note.md", None, None, None, None, None, None),
         ("3", "x.md", "Kept", "note", ["#z", "Z", "a"], {}, ["title"], "Else"), ("4", "x.md", "t ", "_typedef", [], {"origin": "manual"}, [], None), ("5", "x.md", "", "note", [], {}, [], "Head"),
     ]
     docs = spark.createDataFrame(rows, schema)
