@@ -11,15 +11,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ROWS_PER_BATCH = 512
+BYTES_PER_BATCH = 16_000_000
 NULL_ID = np.iinfo(np.int64).max  # a null doc_id orders after every other id
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, so that a batch of long texts fits a Python worker."""
+    """Small Arrow batches, in rows and bytes, so that a batch of long texts fits a Python worker."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +35,23 @@ def id_and_text(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def carrying(docs: DataFrame, carry: tuple, key: str = "doc_id") -> DataFrame:
+    """id_and_text, and the columns to carry along as one struct, so that no later join has to find a row again."""
+    id_, text = F.col(key).cast("long").alias(key), F.coalesce(F.col("text"), F.lit("")).alias("text")
+    return docs.select(id_, text, F.struct(*carry).alias("carried")) if carry else docs.select(id_, text)
+
+
+def carried_schema(docs: DataFrame, fields: str) -> StructType:
+    """The fields, and those that `carrying` has put into docs."""
+    found = StructType.fromDDL(fields)
+    return found.add(docs.schema["carried"]) if "carried" in docs.columns else found
+
+
+def if_small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, marked for a broadcast if it has at most that many rows (of a few numbers each); a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Where it is unset: the warehouse, or a temporary folder if driver and executors are one local process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -175,6 +195,27 @@ def chunks(off: np.ndarray, most: int):
         lo = min(hi, n)
 
 
+def segments(data: np.ndarray, k: int, inside: np.ndarray, size: int):
+    """(first byte, end, word starts, word ends, windows) of pieces of one long text, of some `size` bytes each, that neighbours share k - 1 words of:
+    every k consecutive words lie wholly in exactly one piece. A piece grows until it holds k words, as far as there are any."""
+    lo, n = 0, len(data)
+    while lo < n:
+        hi = lo + size
+        while True:
+            while hi < n and inside[data[hi]]:  # to the end of the word
+                rest = np.flatnonzero(~inside[data[hi : hi + size]])
+                hi = min(n, hi + (int(rest[0]) if len(rest) else size))
+            hi = min(hi, n)
+            starts, ends, _ = word_bounds(data[lo:hi], np.array([0, hi - lo]), inside)
+            if hi == n or len(starts) >= k:
+                break
+            hi += size
+        yield lo, hi, starts, ends, max(len(starts) - k + 1, 0)
+        if hi == n:
+            return
+        lo += int(starts[-(k - 1)]) if k > 1 else hi - lo
+
+
 def ids_out(ids: np.ndarray) -> pa.Array:
     return pa.array(ids, pa.int64(), mask=ids == NULL_ID)
 

@@ -7,6 +7,26 @@ from pyspark.sql import functions as F
 
 from inkfold.llm.common import materialize
 
+LEAST_HUB = 1000
+HUBS = 1 << 17
+
+
+def look_up(rows: DataFrame, table: DataFrame, on: list[str], n_rows: int) -> DataFrame:
+    """Inner join of rows with a table of one row for each key, whose n says how many of n_rows rows have it. Keys with many rows are
+    looked up in a broadcast table, so these rows stay where they are; there can be no more than HUBS such keys, however many rows there are."""
+    hub = max(LEAST_HUB, n_rows // HUBS)
+    values = [c for c in table.columns if c not in (*on, "n")]
+    hot = F.broadcast(table.filter(F.col("n") >= hub).select(*on, F.struct(*values).alias("_hot")))
+    marked = rows.join(hot, on, "left")
+    near = marked.filter("_hot IS NOT NULL").select(*rows.columns, *(F.col(f"_hot.{c}").alias(c) for c in values))
+    far = marked.filter("_hot IS NULL").select(*rows.columns).join(table.filter(F.col("n") < hub).drop("n"), on)
+    return near.unionByName(far)
+
+
+def with_least(edges: DataFrame, n_edges: int) -> DataFrame:
+    """Edges (u, v) with m, the least neighbour of u."""
+    return look_up(edges, edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), ["u"], n_edges)
+
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """edges: a, b (long). Returns node, root of every node with an edge; root is the component's least node.
@@ -21,8 +41,6 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = mark
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        large = with_least(both, 2 * mark.n).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u > v").distinct()
+        small = with_least(large, mark.n)
+        edges = materialize(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct(), name)

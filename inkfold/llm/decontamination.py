@@ -7,11 +7,12 @@ A document word that is the rarest word of some window, at its offset there, giv
 where that window could start; places that would leave the document on either side are dropped (position and
 length bounds), what is left is looked up by the hash of the whole window and then compared byte by byte.
 
-Items are worked off in blocks of at most `block_bytes` of text; only one block's table is sent to
-the executors in a pass, so the broadcast has a fixed bound however many items there are.
+Items are dealt into blocks of some `block_bytes` of text, long items in pieces. Each block's table is a broadcast of its own, of bounded
+size; a task takes one after the other for some texts and holds one of them. So documents are
+read twice, to count words and to find windows, however many items there are.
 
-Null or empty text: no words. Repeated items: each counts as an item of its own. Null item_id: the
-empty string. Repeated documents: one result each. Other columns are ignored.
+Null or empty text: no words. Items that repeat an id are one item with several texts. Null item_id: the
+empty string. Repeated documents: one result each. Very long texts are read in segments. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import Spans, chunks, id_and_text, ids_out, ragged_index, text_arrays, text_bytes, word_bounds
+from inkfold.llm.common import Spans, carried_schema, carrying, chunks, ids_out, materialize, ragged_index, segments, text_arrays, word_bounds
 from inkfold.llm.substring_dedup import joined
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -111,71 +112,106 @@ def equal_slices(a, at, b, other, lens):
     return out
 
 
-def contamination(docs: DataFrame, items: DataFrame, k: int = 10, block_bytes: int = 4_000_000) -> DataFrame:
+def item_blocks(items: DataFrame, k: int, block_bytes: int):
+    """(item_id, text) pairs in lists of some `block_bytes` of text; long items in pieces that share k - 1 words. The driver holds one list at a time."""
+
+    def cut(batches):
+        for batch in batches:
+            ids, texts = batch.column("item_id").to_pylist(), batch.column("text").to_pylist()
+            for item, text in zip(ids, texts, strict=True):
+                data = np.frombuffer(text.encode(), np.uint8)
+                pieces = [data.tobytes()] if len(data) <= block_bytes // 4 else [data[lo:hi].tobytes() for lo, hi, _, _, windows in segments(LOWER[data], k, WORD, block_bytes // 4) if windows or not lo]
+                for piece in pieces:
+                    yield pa.RecordBatch.from_arrays([pa.array([item]), pa.array([piece.decode()])], ["item_id", "text"])
+
+    held, size = [], 0
+    for r in items.distinct().mapInArrow(cut, "item_id string, text string").toLocalIterator():
+        held.append((r.item_id, r.text))
+        size += len(r.text.encode())
+        if size >= block_bytes:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def texts_of(batch: pa.RecordBatch, k: int):
+    """(first text, last text, number of the first word, words_of) of several texts at once, very long ones in segments that share k - 1 words."""
+    ids, data, off = text_arrays(batch)
+    for lo, hi in chunks(off, CHUNK):
+        part = data[off[lo] : off[hi]]
+        if hi - lo > 1 or len(part) <= 2 * CHUNK:
+            yield lo, hi, 0, words_of(part, off[lo : hi + 1] - off[lo])
+            continue
+        at = 0
+        for a, b, starts, _, _ in segments(LOWER[part], k, WORD, CHUNK):
+            yield lo, hi, at, words_of(part[a:b], np.array([0, b - a]))
+            at += max(len(starts) - (k - 1), 0)
+
+
+def contamination(docs: DataFrame, items: DataFrame, k: int = 10, block_bytes: int = 4_000_000, carry: tuple = ()) -> DataFrame:
     """doc_id, n_words, items (sorted ids of items with occurring windows), hits (first word and end of each occurrence)
-    and n_hit (words inside any occurrence) of each document."""
+    and n_hit (words inside any occurrence) of each document; carried: the columns of docs that are asked for."""
     items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    n_blocks = max(1, -(-text_bytes(items) // block_bytes))
-    docs = id_and_text(docs).withColumn("row", F.monotonically_increasing_id())
-    parts = [block_hits(docs, items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == n), k) for n in range(n_blocks)]
-    out = parts[0]
-    if n_blocks > 1:
-        for x in parts[1:]:
-            out = out.unionByName(x)
-        out = out.groupBy("row").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("hits")).alias("hits"),
-        )
-    zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
-    walk = F.aggregate(F.array_sort("hits"), zero, lambda acc, x: F.struct(F.greatest(acc["end"], x["end"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(acc["end"], x["start"]))).alias("n")))
-    return out.select("doc_id", "n_words", F.array_sort("items").alias("items"), "hits", walk["n"].alias("n_hit"))
-
-
-def block_hits(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    sc = docs.sparkSession.sparkContext
-    table = Windows([(r.item_id, r.text) for r in items.orderBy("item_id", "text").collect()], k)
-    words = sc.broadcast(table.vocabulary)
+    items = materialize(items, "items")
+    docs, sc = carrying(docs, carry), docs.sparkSession.sparkContext
+    vocabularies = [sc.broadcast(Windows(block, k).vocabulary) for block in item_blocks(items, k, block_bytes)]
 
     def count(batches):
-        vocabulary = words.value
-        maybe = np.zeros(1 << 16, bool)
-        maybe[vocabulary >> np.uint64(48)] = True
-        total = np.zeros(len(vocabulary), np.int64)
+        def rows(n, counts):
+            some = np.flatnonzero(counts)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), n, np.int32)), pa.array(some), pa.array(counts[some])], ["block", "word", "n"])
+
+        total = None
         for batch in batches:
-            _, data, off = text_arrays(batch)
-            for lo, hi in chunks(off, CHUNK):
-                found = words_of(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])[4]
-                found = found[maybe[found >> np.uint64(48)]]
-                at = np.searchsorted(vocabulary, found)
-                at = at[vocabulary[np.minimum(at, len(vocabulary) - 1)] == found] if len(vocabulary) else at[:0]
-                total += np.bincount(at, minlength=len(vocabulary))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["word", "n"])
-
-    counts = np.zeros(len(table.vocabulary), np.int64)
-    for r in docs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r.word] = r.n  # at most one row for each word of the block
-    table.order(counts)
-    windows = sc.broadcast(table)
+            for *_, (_, _, _, _, words, _) in texts_of(batch, 1):
+                for n, shared in enumerate(vocabularies):
+                    vocabulary = shared.value
+                    if len(vocabulary):
+                        near = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+                        counts = np.bincount(near[vocabulary[near] == words], minlength=len(vocabulary))
+                        if len(vocabularies) > 1:  # a task holds one block's counts
+                            yield rows(n, counts)
+                            shared.__dict__.pop("_value", None)
+                        else:
+                            total = counts if total is None else total + counts
+        if total is not None:
+            yield rows(0, total)
+
+    counts = materialize(docs.select("doc_id", "text").mapInArrow(count, "block int, word long, n long").groupBy("block", "word").agg(F.sum("n").alias("n")), "rarity")
+    tables = []
+    for n, block in enumerate(item_blocks(items, k, block_bytes)):
+        table = Windows(block, k)
+        often = np.zeros(len(table.vocabulary), np.int64)
+        for r in counts.filter(F.col("block") == n).toLocalIterator():
+            often[r.word] = r.n  # at most one row for each word of the block
+        table.order(often)
+        tables.append(sc.broadcast(table))
 
     def find(batches):
-        table = windows.value
         for batch in batches:
-            ids, data, off = text_arrays(batch)
-            n_words, items_out, hits_out = np.zeros(len(ids), np.int64), [[] for _ in ids], [[] for _ in ids]
-            for lo, hi in chunks(off, CHUNK):
-                buf, a, b, first, words, spans = words_of(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                n_words[lo:hi] = np.diff(first)
-                start, size, window = table.hits(buf, a, b, first, words, spans)
-                if not len(start):
-                    continue
-                text = np.searchsorted(first, start, "right") - 1
-                for t, i in np.unique(np.stack([text, table.item[window]], 1), axis=0).tolist():
-                    items_out[lo + t].append(table.ids[i])
-                for t, s, e in np.unique(np.stack([text, start - first[text], start - first[text] + size], 1), axis=0).tolist():
-                    hits_out[lo + t].append({"start": s, "end": e})
+            ids = text_arrays(batch)[0]
+            n_words, items_out, hits_out = np.zeros(len(ids), np.int64), [set() for _ in ids], [set() for _ in ids]
+            for lo, hi, before, (buf, a, b, first, words, spans) in texts_of(batch, k):
+                n_words[lo:hi] = before + np.diff(first)
+                for shared in tables:
+                    table = shared.value
+                    start, size, window = table.hits(buf, a, b, first, words, spans)
+                    if len(start):
+                        text = np.searchsorted(first, start, "right") - 1
+                        for t, i in np.unique(np.stack([text, table.item[window]], 1), axis=0).tolist():
+                            items_out[lo + t].add(table.ids[i])
+                        for t, s, e in np.unique(np.stack([text, start - first[text] + before, start - first[text] + before + size], 1), axis=0).tolist():
+                            hits_out[lo + t].add((s, e))
+                    if len(tables) > 1:
+                        shared.__dict__.pop("_value", None)
+            spans_out = [[{"start": s, "end": e} for s, e in sorted(h)] for h in hits_out]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), ids_out(ids), pa.array(n_words), pa.array(items_out, pa.list_(pa.string())), pa.array(hits_out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                ["row", "doc_id", "n_words", "items", "hits"],
+                [ids_out(ids), pa.array(n_words), pa.array([sorted(i) for i in items_out], pa.list_(pa.string())), pa.array(spans_out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), *batch.columns[2:]],
+                ["doc_id", "n_words", "items", "hits", *batch.schema.names[2:]],
             )
 
-    return docs.mapInArrow(find, "row long, doc_id long, n_words long, items array<string>, hits array<struct<start: long, end: long>>")
+    out = docs.mapInArrow(find, carried_schema(docs, "doc_id long, n_words long, items array<string>, hits array<struct<start: long, end: long>>"))
+    zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    walk = F.aggregate("hits", zero, lambda acc, x: F.struct(F.greatest(acc["end"], x["end"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(acc["end"], x["start"]))).alias("n")))
+    return out.withColumn("n_hit", walk["n"])

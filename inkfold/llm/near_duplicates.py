@@ -1,44 +1,83 @@
-"""N-gram Jaccard join by banded MinHash with exact verification (operator 4).
+"""N-gram Jaccard join by a MinHash LSH forest with exact verification (operator 4).
 
 Documents are sets of shingles of five words. Documents with the same set are one class from the
-start and take part once, with their number. Signatures are cut into `trees` bands of one length, the
-longest up to `max_depth` whose recall at the threshold reaches `recall`; it is worked out beforehand, not found by
-shortening prefixes as in an LSH forest. What shares a band is put in one candidate block (by stars
-to the least member and connected components, so a bucket makes as many edges as members).
-All pairs of a block, not only those of a bucket, are then verified on the shingle sets
-themselves. A block of more than `most_in_block` texts is cut into parts and each two parts meet in a task
-of their own, so no task holds more than twice that; pairs are counted there, never emitted.
+start and take part once, with their number. Each set has a label of `max_depth` minima in each of `trees` trees.
+The labels of a tree are sorted, which makes it a prefix trie: neighbours in that order with a common
+prefix of d minima lie under one node of depth d, and neighbours tell all nodes apart.
+
+Matches on the longest prefixes come first. Then prefixes are shortened: every verified link of similarity s stands for 1 / p(s) links,
+p(s) = 1 - (1 - s^d)^trees being the part of them that prefixes of length d find, which gives the recall so far and the
+longest prefix with which `recall` is to be expected; this is repeated with what has been found until the recall is reached. It can't become
+shorter than the length that reaches it if all links had the threshold's similarity.
+
+Neighbours under common nodes are connected to blocks, all pairs of which are verified on the sets of shingles
+themselves (64-bit hashes of the words of a shingle); pairs that a round before has verified are left out, and so are blocks without
+new ones. A block of more than `most_in_block` texts or SHINGLES shingles is cut into parts and each two parts meet in a task
+of their own, so a task's memory is bounded; pairs are counted there, never emitted.
 
 Texts under five words are one shingle; texts without words are alone in their class, without links.
 Null text: as empty. Rows that repeat a doc_id and text are one document with copies. Null doc_id: one more
-id, after all others. Other columns are ignored.
+id, after all others. Very long texts are read in segments. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import NULL_ID, SPACE, Spans, chunks, id_and_text, materialize, mix, ragged_index, text_arrays, text_bytes, word_bounds
-from inkfold.llm.components import components
+from inkfold.llm.common import NULL_ID, SPACE, Spans, chunks, id_and_text, if_small, materialize, mix, ragged_index, segments, text_arrays, text_bytes, word_bounds
+from inkfold.llm.components import components, look_up
 from inkfold.llm.substring_dedup import joined
 
 CHUNK = 2_000_000
 PACK = 6_000_000
+SHINGLES = 1_000_000
+BINS = 20
+POOLED = -(2**63)
+
+
+def found_share(similarity: np.ndarray | float, depth: int, trees: int) -> np.ndarray | float:
+    """Share of pairs with that similarity that agree in a prefix of `depth` minima in any tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
 
+def next_depth(links: np.ndarray, threshold: float, depth: int, least: int, trees: int, recall: float) -> int:
+    """The longest prefix, up to depth, that is expected to find `recall` of all links. links: those found by
+    prefixes of length depth, in bins of similarity from the threshold to 1."""
+    if not links.sum():
+        return least
+    at = threshold + (np.arange(len(links)) + 0.5) * (1 - threshold) / len(links)
+    there = links / found_share(at, depth, trees)
+    for d in range(depth, least, -1):
+        if (there * found_share(at, d, trees)).sum() >= recall * there.sum():
+            return d
+    return least
 
-def forest_depth(threshold: float, trees: int, max_depth: int, recall: float) -> int:
-    """The longest prefix that finds pairs at the threshold with the recall asked for."""
+
+def shortest_prefix(threshold: float, trees: int, max_depth: int, recall: float) -> int:
     depth = max_depth
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    while depth > 1 and found_share(threshold, depth, trees) < recall:
         depth -= 1
     return depth
 
 
+def long_shingles(data: np.ndarray, k: int) -> np.ndarray:
+    """Distinct shingle hashes of one long text, sorted."""
+    found = np.zeros(0, np.uint64)
+    for lo, hi, starts, ends, windows in segments(data, k, ~SPACE, CHUNK):
+        buf, a, b = joined(data[lo:hi], starts, ends)
+        at = np.arange(windows if windows or lo else min(len(a), 1))  # fewer than k words: the whole text is one shingle
+        found = np.union1d(found, Spans(buf).hash(a[at], b[np.minimum(at + k, len(a)) - 1]))
+    return found
+
+
 def shingles(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted, and where those of each text start (one more than texts)."""
+    if len(off) == 2 and len(data) > 2 * CHUNK:
+        h = long_shingles(data, k)
+        return h, np.array([0, len(h)])
     starts, ends, first = word_bounds(data, off, ~SPACE)
     buf, a, b = joined(data, starts, ends)
     n = np.diff(first)
@@ -63,7 +102,7 @@ def set_keys(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(docs: DataFrame, k: int, trees: int, depth: int) -> DataFrame:
-    """doc_id, key1, key2, size (shingles) and prefixes: one hash of `depth` minima for each tree."""
+    """doc_id, key1, key2, size (shingles) and labels: for each tree 16 bits of each of `depth` minima, in order."""
     rng = np.random.default_rng(7)
     times = rng.integers(0, 1 << 63, trees * depth, np.uint64) * np.uint64(2) + np.uint64(1)
     plus = rng.integers(0, 1 << 63, trees * depth, np.uint64)
@@ -71,28 +110,71 @@ def sketch(docs: DataFrame, k: int, trees: int, depth: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, data, off = text_arrays(batch)
-            keys, sizes, prefixes = [np.zeros(len(ids), np.int64) for _ in range(2)], np.zeros(len(ids), np.int64), np.zeros((len(ids), trees), np.uint64)
+            keys, sizes, labels = [np.zeros(len(ids), np.int64) for _ in range(2)], np.zeros(len(ids), np.int64), np.zeros((len(ids), trees * depth), ">u2")
             for lo, hi in chunks(off, CHUNK):
                 h, first = shingles(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], k)
                 keys[0][lo:hi], keys[1][lo:hi] = set_keys(h, first)
                 sizes[lo:hi] = np.diff(first)
                 full = np.flatnonzero(np.diff(first)) + lo
-                if not len(full):
-                    continue
-                at = first[:-1][full - lo]
-                for t in range(trees):
-                    own = np.full(len(full), t + 1, np.uint64)
-                    for j in range(t * depth, (t + 1) * depth):
-                        own = mix(own * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(h * times[j] + plus[j], at))
-                    prefixes[full, t] = own
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * trees), pa.array(prefixes.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys[0]), pa.array(keys[1]), pa.array(sizes), lists], ["doc_id", "key1", "key2", "size", "prefixes"])
-
-    return docs.mapInArrow(run, "doc_id long, key1 long, key2 long, size long, prefixes array<long>")
-
-
-def verify_block(sets: list[np.ndarray], parts: np.ndarray, wanted: tuple[int, int], weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """For texts of one block, of one or two parts: the weight of each text's partners, and the least text that it is connected with."""
+                if len(full):
+                    at = first[:-1][full - lo]
+                    for j in range(trees * depth):
+                        labels[full, j] = mix(np.minimum.reduceat(h * times[j] + plus[j], at)) >> np.uint64(48)
+            columns = [pa.array(ids), pa.array(keys[0]), pa.array(keys[1]), pa.array(sizes), pa.array([x.tobytes() for x in labels], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key1", "key2", "size", "labels"])
+
+    return docs.mapInArrow(run, "doc_id long, key1 long, key2 long, size long, labels binary")
+
+
+def common_prefix(paths: np.ndarray) -> np.ndarray:
+    """Minima that each path (a byte for the tree, two for each minimum) and the one before it begin with; 0 in different trees."""
+    same = paths[1:] == paths[:-1]
+    return np.where(same[:, 0], np.minimum.accumulate(same[:, 1::2] & same[:, 2::2], axis=1).sum(1), 0)
+
+
+def neighbours(kinds: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
+    """a, b, prefix: representatives next to each other in the sorted labels of a tree and the length of their common prefix, if it is `least` or more."""
+    width = 2 * depth
+    rows = kinds.filter("size > 0").select("rep", "labels", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    path = F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.expr(f"substring(labels, tree * {width} + 1, {width})"))
+    tries = rows.select(path.alias("path"), "rep").repartitionByRange("path", "rep").sortWithinPartitions("path", "rep")
+
+    def run(batches):
+        """Pairs of neighbours; the first and the last path of the partition, with which it joins the partitions beside it."""
+        last = first = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rep = batch.column("rep").to_numpy()
+            raw = batch.column("path").cast(pa.large_binary())
+            paths = np.frombuffer(raw.buffers()[2], np.uint8)[np.frombuffer(raw.buffers()[1], np.int64)[raw.offset] :][: len(rep) * (width + 1)].reshape(-1, width + 1)
+            first = (paths[:1].copy(), rep[:1].copy()) if first is None else first
+            if last is not None:
+                paths, rep = np.concatenate([last[0], paths]), np.concatenate([last[1], rep])
+            last = (paths[-1:].copy(), rep[-1:].copy())
+            prefix = common_prefix(paths)
+            some = np.flatnonzero((prefix >= least) & (rep[1:] != rep[:-1]))
+            yield out(rep[1:][some], rep[:-1][some], prefix[some], [None] * len(some))
+        if first is not None:
+            ends = [first, last]
+            yield out(*(np.array([x[1][0] for x in ends]) for _ in range(2)), np.zeros(2, np.int64), [x[0].tobytes() for x in ends])
+
+    def out(a, b, prefix, edge):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(prefix.astype(np.int32)), pa.array(edge, pa.binary())], ["a", "b", "prefix", "edge"])
+
+    found = materialize(tries.mapInArrow(run, "a long, b long, prefix int, edge binary"), "neighbours")
+    ends = found.filter("edge IS NOT NULL").orderBy("edge", "a").select("a", "edge").collect()  # two rows for each partition
+    across = []
+    if len(ends) > 1:
+        prefix = common_prefix(np.stack([np.frombuffer(r.edge, np.uint8) for r in ends]))
+        across = [(x.a, y.a, int(p)) for x, y, p in zip(ends, ends[1:], prefix.tolist(), strict=False) if p >= least and x.a != y.a]
+    inner = found.filter("edge IS NULL").select("a", "b", "prefix")
+    return inner.unionByName(kinds.sparkSession.createDataFrame(across, "a long, b long, prefix int")) if across else inner
+
+
+def verify_block(sets: list[np.ndarray], parts: np.ndarray, wanted: tuple[int, int], old: np.ndarray, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts of one block, of one or two parts: the weight of each text's partners, the least text that it is connected with and the links
+    by bins of similarity. old: blocks of the round before, within which all is known."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     _, feature, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -109,54 +191,53 @@ def verify_block(sets: list[np.ndarray], parts: np.ndarray, wanted: tuple[int, i
         dense = np.zeros((n, min(width, int(feature[-1]) + 1 - lo)), np.float32)
         dense[owner[a:b], feature[a:b] - lo] = 1
         common += dense @ dense.T
-    linked = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-3
-    linked[np.arange(n), np.arange(n)] = False
+    union = size[:, None] + size[None, :] - common
+    linked = common >= threshold * union - 1e-3
+    linked &= old[:, None] != old[None, :]
     if wanted[0] != wanted[1]:
         linked &= parts[:, None] != parts[None, :]
+    one, two = np.nonzero(np.triu(linked))
+    bins = np.clip((common[one, two] / union[one, two] - threshold) / (1 - threshold) * BINS, 0, BINS - 1).astype(np.int64)
     partners = linked @ weight
     root = np.arange(n)
     while True:
         low = np.minimum(root, np.where(linked, root[None, :], n).min(1, initial=n))
         low = low[low]
         if (low == root).all():
-            return partners, root
+            return partners, root, np.bincount(bins, minlength=BINS)
         root = low
 
 
-def join(docs: DataFrame, k: int = 5, threshold: float = 0.8, trees: int = 40, max_depth: int = 8, recall: float = 0.9999, most_in_block: int = 512) -> DataFrame:
-    """doc_id, class_id (least doc_id of those connected by links), copy_id (least doc_id with the same shingles),
-    n_links (other documents with a similarity of the threshold or more)."""
-    docs = id_and_text(docs)
-    depth = forest_depth(threshold, trees, max_depth, recall)
-    sketches = materialize(sketch(docs, k, trees, depth), "sketch")
-    alone = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(0)
-    keys = sketches.select("doc_id", "key1", "key2", alone.alias("key3"))
-    kinds = sketches.groupBy("key1", "key2", alone.alias("key3")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size"), F.first("prefixes").alias("prefixes"))
-    kinds = materialize(kinds, "kinds")
-    rows = kinds.filter("size > 0").select("rep", F.explode("prefixes").alias("prefix"))
-    stars = rows.groupBy("prefix").agg(F.min("rep").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    blocks = components(rows.join(stars, "prefix").filter("rep > least").select(F.col("rep").alias("a"), F.col("least").alias("b")), "blocks")
-    blocks = materialize(blocks, "block")
-    sizes = blocks.groupBy("root").agg(F.count("*").alias("n"))
-    packs = max(1, -(-text_bytes(docs) // PACK))
-    n_parts = F.when(F.col("n") <= most_in_block, 1).otherwise(F.ceil(F.col("n") / most_in_block)).cast("int")
-    member = blocks.join(sizes, "root").withColumn("n_parts", n_parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("n_parts")).cast("int"))
-    member = member.join(kinds.select(F.col("rep").alias("node"), "key1", "key2", "copies"), "node")
-    texts = docs.select(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("node"), "text")
-    member = member.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
+def verified(texts: DataFrame, kinds: DataFrame, blocks: DataFrame, before: DataFrame | None, k: int, threshold: float, most: int, packs: int) -> DataFrame:
+    """a, b, n, bins: of each text with new links, a text that it is connected with (itself for the least one) and the number of partners;
+    bins: links by similarity of a whole task, in one row of it."""
+    member = blocks.join(kinds.select(F.col("rep").alias("node"), "key1", "key2", "copies", "size"), "node")
+    if before is None:
+        member = member.withColumn("old", F.col("node"))
+    else:
+        member = member.join(before.select("node", F.col("root").alias("old")), "node", "left").withColumn("old", F.coalesce("old", "node"))
+    # a large old block has parts of its own, which need not meet each other; all others of a block share theirs
+    members, olds = blocks.count(), member.groupBy("root", "old").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    fresh = olds.groupBy("root").agg(F.min("old").alias("x"), F.max("old").alias("y")).filter("x < y").select("root")
+    olds = olds.join(fresh, "root", "left_semi").withColumn("own", F.when((F.col("n") > most // 2) | (F.col("s") > SHINGLES // 2), F.col("old")).otherwise(POOLED))
+    parts = F.greatest(F.ceil(F.sum("n") / most), F.ceil(F.sum("s") / SHINGLES)).cast("int")
+    owns = olds.groupBy("root", "own").agg(F.sum("n").alias("n"), parts.alias("parts"))
+    order = Window.partitionBy("root").orderBy("own")
+    owns = owns.select("root", "own", "n", "parts", (F.sum("parts").over(order) - F.col("parts")).cast("int").alias("first"), F.sum("parts").over(Window.partitionBy("root")).cast("int").alias("total"))
+    member = look_up(look_up(member, olds.drop("s"), ["root", "old"], members), owns, ["root", "own"], members)
+    member = member.withColumn("part", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int"))
+    member = member.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("total") - 1)))
+    member = member.filter((F.col("own") == POOLED) | (F.col("other") < F.col("first")) | (F.col("other") >= F.col("first") + F.col("parts")))
     lo, hi = F.least("part", "other"), F.greatest("part", "other")
-    pack = F.when(F.col("n_parts") == 1, F.pmod(F.xxhash64("root"), F.lit(packs))).otherwise(F.xxhash64("root", lo, hi))
-    member = member.select(pack.alias("pack"), "root", lo.alias("lo"), hi.alias("hi"), "part", "node", "key1", "key2", "copies", "text")
+    pack = F.when(F.col("total") == 1, F.pmod(F.xxhash64("root"), F.lit(packs))).otherwise(F.xxhash64("root", lo, hi))
+    member = member.select(pack.alias("pack"), "root", lo.alias("lo"), hi.alias("hi"), "part", "old", "node", "key1", "key2", "copies", "text")
 
     def verify(table: pa.Table) -> pa.Table:
         batch = table.select(["node", "text"]).combine_chunks().to_batches()
-        if not batch:
-            return pa.table({n: pa.array([], pa.int64()) for n in ("a", "b", "n")})
-        _, data, off = text_arrays(batch[0], "node")
         sets, keep = [], []
         seen: set[tuple] = set()
-        names = ("root", "lo", "hi", "part", "node", "key1", "key2", "copies")
-        columns = {c: table.column(c).to_numpy() for c in names}
+        columns = {c: table.column(c).to_numpy() for c in ("root", "lo", "hi", "part", "old", "node", "key1", "key2", "copies")}
+        _, data, off = text_arrays(batch[0], "node") if batch else (None, None, np.zeros(1, np.int64))
         for first, last in chunks(off, CHUNK):
             h, at = shingles(data[off[first] : off[last]], off[first : last + 1] - off[first], k)
             one, two = set_keys(h, at)
@@ -171,21 +252,52 @@ def join(docs: DataFrame, k: int = 5, threshold: float = 0.8, trees: int = 40, m
         where = np.lexsort((columns["node"][keep], columns["hi"][keep], columns["lo"][keep], columns["root"][keep]))
         block = np.stack([columns[c][keep][where] for c in ("root", "lo", "hi")], 1)
         cuts = np.flatnonzero((block[1:] != block[:-1]).any(1)) + 1
-        out = []
+        out, bins = [np.full((1, 3), -1)], np.zeros(BINS, np.int64)
         for rows in np.split(where, cuts) if len(where) else []:
             i = keep[rows]
             node, weight = columns["node"][i], columns["copies"][i].astype(np.float64)
-            partners, root = verify_block([sets[r] for r in rows], columns["part"][i], (columns["lo"][i[0]], columns["hi"][i[0]]), weight, threshold)
+            partners, root, some_bins = verify_block([sets[r] for r in rows], columns["part"][i], (columns["lo"][i[0]], columns["hi"][i[0]]), columns["old"][i], weight, threshold)
             some = partners > 0
+            bins += some_bins
             out.append(np.stack([node[some], node[root[some]], partners[some].astype(np.int64)], 1))
-        out = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
-        return pa.table({n: pa.array(out[:, j]) for j, n in enumerate(("a", "b", "n"))})
+        out = np.concatenate(out)
+        return pa.table({**{n: pa.array(out[:, j]) for j, n in enumerate(("a", "b", "n"))}, "bins": pa.array([bins.tolist(), *[None] * (len(out) - 1)], pa.list_(pa.int64()))})
+
+    return member.groupBy("pack").applyInArrow(verify, "a long, b long, n long, bins array<long>")
 
-    # b: a text of the same component, itself for the least one
-    checked = materialize(member.groupBy("pack").applyInArrow(verify, "a long, b long, n long"), "links")
+
+def join(docs: DataFrame, k: int = 5, threshold: float = 0.8, trees: int = 40, max_depth: int = 12, recall: float = 0.9999, most_in_block: int = 512) -> DataFrame:
+    """doc_id, class_id (least doc_id of those connected by links), copy_id (least doc_id with the same shingles),
+    n_links (other documents with a similarity of the threshold or more)."""
+    docs = id_and_text(docs)
+    sketches = materialize(sketch(docs, k, trees, max_depth), "sketch")
+    alone = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(0)
+    keys = sketches.select("doc_id", "key1", "key2", alone.alias("key3"))
+    kinds = sketches.groupBy("key1", "key2", alone.alias("key3")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size"), F.first("labels").alias("labels"))
+    kinds = materialize(kinds, "kinds")
+    depth, least = max_depth, shortest_prefix(threshold, trees, max_depth, recall)
+    tries = neighbours(kinds, trees, max_depth, least)
+    candidates = tries.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = docs.select(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("node"), "text").join(if_small(candidates), "node", "left_semi")
+    texts = materialize(texts, "candidates")
+    packs = max(1, -(-text_bytes(texts) // PACK))
+    before, found, links = None, [], np.zeros(BINS, np.int64)
+    while True:
+        blocks = materialize(components(tries.filter(F.col("prefix") >= depth), "blocks"), "block")
+        checked = materialize(verified(texts, kinds, blocks, before, k, threshold, most_in_block, packs), "links")
+        for r in checked.filter("bins IS NOT NULL").select(F.posexplode("bins")).groupBy("pos").agg(F.sum("col").alias("n")).collect():  # BINS rows
+            links[r.pos] += r.n
+        found.append(checked.filter("bins IS NULL").select("a", "b", "n"))
+        shorter = next_depth(links, threshold, depth, least, trees, recall)
+        if shorter == depth:
+            break
+        before, depth = blocks, shorter
+    checked = found[0]
+    for more in found[1:]:
+        checked = checked.unionByName(more)
     classes = components(checked.select("a", "b"), "classes").select(F.col("node").alias("rep"), F.col("root").alias("class"))
-    links = checked.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
-    kinds = kinds.select("key1", "key2", alone_of(kinds), "rep", "copies").join(links, "rep", "left").join(classes, "rep", "left")
+    total = checked.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
+    kinds = kinds.select("key1", "key2", alone_of(kinds), "rep", "copies").join(total, "rep", "left").join(classes, "rep", "left")
     result = keys.join(kinds, ["key1", "key2", "key3"])
     known = F.when(F.col("doc_id") != int(NULL_ID), F.col("doc_id"))
     return result.select(known.alias("doc_id"), F.coalesce("class", "rep").alias("class_id"), F.col("rep").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

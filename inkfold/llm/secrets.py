@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import id_and_text
+from inkfold.llm.common import carried_schema, carrying
 
 # The kinds, in the order in which spans at the same start are listed, and their patterns.
 KINDS = ("assign", "access", "hex")
@@ -322,9 +322,10 @@ def masked(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
     return "".join([*parts, text[end:]]) if spans else text
 
 
-def find_secrets(docs: DataFrame, most_unpacked: int = MOST_UNPACKED, mark: str = "[SECRET]", key: str = "doc_id") -> DataFrame:
+def find_secrets(docs: DataFrame, most_unpacked: int = MOST_UNPACKED, mark: str = "[SECRET]", key: str = "doc_id", carry: tuple = ()) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex and base (spans of the text itself), spans (those of all layers too),
-    masked (the text with a mark in place of every span)."""
+    masked (the text with a mark in place of every span); carried: the columns of docs that are asked for."""
+    docs = carrying(docs, carry, key)
 
     def run(batches):
         for batch in batches:
@@ -333,9 +334,9 @@ def find_secrets(docs: DataFrame, most_unpacked: int = MOST_UNPACKED, mark: str
                 base, every = all_spans(text, most_unpacked)
                 rows.append((*(sum(s[2] == k for s in base) for k in range(3)), told(base), told(every), masked(text, every, mark)))
             columns = [pa.array([r[k] for r in rows], pa.int64() if k < 3 else pa.string()) for k in range(6)]
-            yield pa.RecordBatch.from_arrays([batch.column(key), *columns], [key, "n_assign", "n_access", "n_hex", "base", "spans", "masked"])
+            yield pa.RecordBatch.from_arrays([batch.column(key), *columns, *batch.columns[2:]], [key, "n_assign", "n_access", "n_hex", "base", "spans", "masked", *batch.schema.names[2:]])
 
-    return id_and_text(docs, key).mapInArrow(run, f"{key} long, n_assign long, n_access long, n_hex long, base string, spans string, masked string")
+    return docs.mapInArrow(run, carried_schema(docs, f"{key} long, n_assign long, n_access long, n_hex long, base string, spans string, masked string"))
 
 
 def digest(found: DataFrame) -> DataFrame:
