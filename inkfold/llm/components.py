@@ -11,10 +11,17 @@ LEAST_HUB = 1000
 HUBS = 1 << 17
 
 
-def look_up(rows: DataFrame, table: DataFrame, on: list[str], n_rows: int) -> DataFrame:
-    """Inner join of rows with a table of one row for each key, whose n says how many of n_rows rows have it. Keys with many rows are
-    looked up in a broadcast table, so these rows stay where they are; there can be no more than HUBS such keys, however many rows there are."""
-    hub = max(LEAST_HUB, n_rows // HUBS)
+def hub_size(n_rows: int) -> int:
+    """Rows from which on a key counts as hot; there can be no more than HUBS such keys, however many rows there are."""
+    return max(LEAST_HUB, n_rows // HUBS)
+
+
+def look_up(rows: DataFrame, table: DataFrame, on: list[str], n_rows: int, most: int) -> DataFrame:
+    """Inner join of rows with a table of one row for each key, whose n says how many of n_rows rows have it; most: the greatest n.
+    Hot keys are looked up in a broadcast table (of HUBS rows at most), so their rows stay where they are."""
+    hub = hub_size(n_rows)
+    if most < hub:
+        return rows.join(table.drop("n"), on)
     values = [c for c in table.columns if c not in (*on, "n")]
     hot = F.broadcast(table.filter(F.col("n") >= hub).select(*on, F.struct(*values).alias("_hot")))
     marked = rows.join(hot, on, "left")
@@ -23,9 +30,9 @@ def look_up(rows: DataFrame, table: DataFrame, on: list[str], n_rows: int) -> Da
     return near.unionByName(far)
 
 
-def with_least(edges: DataFrame, n_edges: int) -> DataFrame:
+def with_least(edges: DataFrame, n_edges: int, most: int) -> DataFrame:
     """Edges (u, v) with m, the least neighbour of u."""
-    return look_up(edges, edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), ["u"], n_edges)
+    return look_up(edges, edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), ["u"], n_edges, most)
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -36,11 +43,12 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
     edges, before = materialize(edges, name), None
     while True:
-        mark = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x"), F.sum(F.col("v").cast("decimal(20,0)")).alias("s")).first()
-        if mark.n == 0 or mark == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = mark
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_least(both, 2 * mark.n).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u > v").distinct()
-        small = with_least(large, mark.n)
+        per_node = both.groupBy("u").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x"), F.sum(F.col("v").cast("decimal(20,0)")).alias("s"))
+        mark = per_node.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("n").alias("most"), F.expr("bit_xor(x)").alias("x"), F.sum("s").alias("s")).first()
+        if mark.n == 0 or (mark.n, mark.x, mark.s) == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before = (mark.n, mark.x, mark.s)
+        large = with_least(both, mark.n, mark.most).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u > v").distinct()
+        small = with_least(large, mark.n, mark.most)
         edges = materialize(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct(), name)

@@ -217,14 +217,15 @@ def verified(texts: DataFrame, kinds: DataFrame, blocks: DataFrame, before: Data
     else:
         member = member.join(before.select("node", F.col("root").alias("old")), "node", "left").withColumn("old", F.coalesce("old", "node"))
     # a large old block has parts of its own, which need not meet each other; all others of a block share theirs
-    members, olds = blocks.count(), member.groupBy("root", "old").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    olds = member.groupBy("root", "old").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     fresh = olds.groupBy("root").agg(F.min("old").alias("x"), F.max("old").alias("y")).filter("x < y").select("root")
     olds = olds.join(fresh, "root", "left_semi").withColumn("own", F.when((F.col("n") > most // 2) | (F.col("s") > SHINGLES // 2), F.col("old")).otherwise(POOLED))
     parts = F.greatest(F.ceil(F.sum("n") / most), F.ceil(F.sum("s") / SHINGLES)).cast("int")
     owns = olds.groupBy("root", "own").agg(F.sum("n").alias("n"), parts.alias("parts"))
     order = Window.partitionBy("root").orderBy("own")
     owns = owns.select("root", "own", "n", "parts", (F.sum("parts").over(order) - F.col("parts")).cast("int").alias("first"), F.sum("parts").over(Window.partitionBy("root")).cast("int").alias("total"))
-    member = look_up(look_up(member, olds.drop("s"), ["root", "old"], members), owns, ["root", "own"], members)
+    sizes = owns.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("members"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    member = look_up(look_up(member, olds.drop("s"), ["root", "old"], sizes.members, sizes.most), owns, ["root", "own"], sizes.members, sizes.most)
     member = member.withColumn("part", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int"))
     member = member.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("total") - 1)))
     member = member.filter((F.col("own") == POOLED) | (F.col("other") < F.col("first")) | (F.col("other") >= F.col("first") + F.col("parts")))
