@@ -133,7 +133,8 @@ def common_prefix(paths: np.ndarray) -> np.ndarray:
 
 
 def neighbours(kinds: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
-    """a, b, prefix: representatives next to each other in the sorted labels of a tree and the length of their common prefix, if it is `least` or more."""
+    """a, b, prefix: a representative, the length of the prefix that its label in a tree shares with the one before it in sorted order (`least` or more),
+    and the first one under that node of the trie."""
     width = 2 * depth
     rows = kinds.filter("size > 0").select("rep", "labels", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     path = F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.expr(f"substring(labels, tree * {width} + 1, {width})"))
@@ -142,6 +143,7 @@ def neighbours(kinds: DataFrame, trees: int, depth: int, least: int) -> DataFram
     def run(batches):
         """Pairs of neighbours; the first and the last path of the partition, with which it joins the partitions beside it."""
         last = first = None
+        heads = {}
         for batch in batches:
             if not len(batch):
                 continue
@@ -149,12 +151,16 @@ def neighbours(kinds: DataFrame, trees: int, depth: int, least: int) -> DataFram
             raw = batch.column("path").cast(pa.large_binary())
             paths = np.frombuffer(raw.buffers()[2], np.uint8)[np.frombuffer(raw.buffers()[1], np.int64)[raw.offset] :][: len(rep) * (width + 1)].reshape(-1, width + 1)
             first = (paths[:1].copy(), rep[:1].copy()) if first is None else first
-            if last is not None:
-                paths, rep = np.concatenate([last[0], paths]), np.concatenate([last[1], rep])
+            before = np.zeros((1, width + 1), np.uint8) + np.uint8(255) if last is None else last[0]  # 255: no tree
+            prefix = common_prefix(np.concatenate([before, paths]))
+            head, place = np.zeros(len(rep), np.int64), np.arange(len(rep))
+            for d in range(least, depth + 1):
+                at = np.maximum.accumulate(np.where(prefix < d, place, -1))
+                own = np.where(at >= 0, rep[at], heads.get(d, 0))
+                head[prefix == d], heads[d] = own[prefix == d], int(own[-1])
             last = (paths[-1:].copy(), rep[-1:].copy())
-            prefix = common_prefix(paths)
-            some = np.flatnonzero((prefix >= least) & (rep[1:] != rep[:-1]))
-            yield out(rep[1:][some], rep[:-1][some], prefix[some], [None] * len(some))
+            some = np.flatnonzero((prefix >= least) & (rep != head))
+            yield out(rep[some], head[some], prefix[some], [None] * len(some))
         if first is not None:
             ends = [first, last]
             yield out(*(np.array([x[1][0] for x in ends]) for _ in range(2)), np.zeros(2, np.int64), [x[0].tobytes() for x in ends])
@@ -208,14 +214,24 @@ def verify_block(sets: list[np.ndarray], parts: np.ndarray, wanted: tuple[int, i
         root = low
 
 
-def verified(texts: DataFrame, kinds: DataFrame, blocks: DataFrame, before: DataFrame | None, k: int, threshold: float, most: int, packs: int) -> DataFrame:
+def grown(tries: DataFrame, depth: int, blocks: DataFrame | None, last: int) -> DataFrame:
+    """node, old, root: blocks of prefixes of length depth, and what each node was in before. blocks: those of length `last`, which take part as one node each."""
+    if blocks is None:
+        return components(tries.filter(F.col("prefix") >= depth), "blocks").select("node", F.col("node").alias("old"), "root")
+    edges = tries.filter((F.col("prefix") >= depth) & (F.col("prefix") < last))
+    for c in ("a", "b"):
+        edges = edges.join(blocks.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
+    found = components(edges.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")), "blocks")
+    found = materialize(found, "blocks")
+    old = blocks.select("node", F.col("root").alias("old")).join(found.select(F.col("node").alias("old"), "root"), "old", "left").select("node", "old", F.coalesce("root", "old").alias("root"))
+    new = found.join(blocks.select(F.col("root").alias("node")).distinct(), "node", "left_anti").select("node", F.col("node").alias("old"), "root")
+    return old.unionByName(new)
+
+
+def verified(texts: DataFrame, kinds: DataFrame, blocks: DataFrame, k: int, threshold: float, most: int, packs: int) -> DataFrame:
     """a, b, n, bins: of each text with new links, a text that it is connected with (itself for the least one) and the number of partners;
     bins: links by similarity of a whole task, in one row of it."""
     member = blocks.join(kinds.select(F.col("rep").alias("node"), "key1", "key2", "copies", "size"), "node")
-    if before is None:
-        member = member.withColumn("old", F.col("node"))
-    else:
-        member = member.join(before.select("node", F.col("root").alias("old")), "node", "left").withColumn("old", F.coalesce("old", "node"))
     # a large old block has parts of its own, which need not meet each other; all others of a block share theirs
     olds = member.groupBy("root", "old").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     fresh = olds.groupBy("root").agg(F.min("old").alias("x"), F.max("old").alias("y")).filter("x < y").select("root")
@@ -282,17 +298,17 @@ def join(docs: DataFrame, k: int = 5, threshold: float = 0.8, trees: int = 40, m
     texts = docs.select(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("node"), "text").join(if_small(candidates), "node", "left_semi")
     texts = materialize(texts, "candidates")
     packs = max(1, -(-text_bytes(texts) // PACK))
-    before, found, links = None, [], np.zeros(BINS, np.int64)
+    before, last, found, links = None, max_depth, [], np.zeros(BINS, np.int64)
     while True:
-        blocks = materialize(components(tries.filter(F.col("prefix") >= depth), "blocks"), "block")
-        checked = materialize(verified(texts, kinds, blocks, before, k, threshold, most_in_block, packs), "links")
+        blocks = materialize(grown(tries, depth, before, last), "block")
+        checked = materialize(verified(texts, kinds, blocks, k, threshold, most_in_block, packs), "links")
         for r in checked.filter("bins IS NOT NULL").select(F.posexplode("bins")).groupBy("pos").agg(F.sum("col").alias("n")).collect():  # BINS rows
             links[r.pos] += r.n
         found.append(checked.filter("bins IS NULL").select("a", "b", "n"))
         shorter = next_depth(links, threshold, depth, least, trees, recall)
         if shorter == depth:
             break
-        before, depth = blocks, shorter
+        before, last, depth = blocks, depth, shorter
     checked = found[0]
     for more in found[1:]:
         checked = checked.unionByName(more)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from inkfold.llm import common, decontamination, near_duplicates, packing, quality_rules, secrets, substring_dedup, suffix_dedup, superkmers, token_counts, toxicity, url_reputation
+from inkfold.llm import common, components, decontamination, near_duplicates, packing, quality_rules, secrets, substring_dedup, suffix_dedup, superkmers, token_counts, toxicity, url_reputation
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, key1 string, node string"
@@ -323,3 +323,18 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert len(masked) == len(texts()) and "hunter22" not in masked[13] and masked[5] == texts()[5]
     good = corpus_pipeline.quality(spark, docs, sf)
     assert good.columns == columns and good.filter(F.col("text").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("hub", [1000, 1])
+def test_components(spark, hub, monkeypatch):
+    monkeypatch.setattr(components, "LEAST_HUB", hub)
+    dice = random.Random(hub)
+    pairs = [(k, k + 1) for k in range(100, 160)] + [(5000, 5000 + k) for k in range(1, 60)] + [(dice.randrange(10_000, 10_300), dice.randrange(10_000, 10_300)) for _ in range(200)] + [(7, 7)]
+    root = {x: x for p in pairs if p[0] != p[1] for x in p}
+    for a, b in pairs * 3:
+        if a != b:
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = {k: new if r == old else r for k, r in root.items()}
+    found = components.components(spark.createDataFrame(pairs, "a long, b long").repartition(7), "test").collect()
+    assert {r.node: r.root for r in found} == root and len(found) == len(root)
+    assert components.components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
