@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -72,8 +70,10 @@ def parsed_date(value: Column) -> Column:
 
 # Media types by file extension.
 MEDIA = {
-    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "webp": "image/webp", "pdf": "application/pdf", "txt": "text/plain", "md": "text/markdown",
-    "html": "text/html", "css": "text/css", "js": "application/javascript", "json": "application/json", "csv": "text/csv", "xml": "application/xml", "zip": "application/zip", "mp3": "audio/mpeg", "mp4": "video/mp4",
+    "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "svg": "image/svg+xml", "webp": "image/webp", "bmp": "image/bmp", "ico": "image/x-icon",
+    "pdf": "application/pdf", "json": "application/json", "xml": "application/xml", "zip": "application/zip", "gz": "application/gzip", "gzip": "application/gzip", "tar": "application/x-tar",
+    "txt": "text/plain", "md": "text/markdown", "html": "text/html", "htm": "text/html", "css": "text/css", "csv": "text/csv", "js": "text/javascript",
+    "mp3": "audio/mpeg", "wav": "audio/wav", "mp4": "video/mp4", "webm": "video/webm", "mov": "video/quicktime",
 }
 
 
@@ -91,9 +91,25 @@ def template_title(template: Column | str, values: dict[str, Column], kind: Colu
     return F.when(out == "", F.concat_ws(" ", kind, key)).otherwise(out)
 
 
-def content_id(content: str, taken: set[str] = frozenset()) -> str:
-    """14 digits that depend on the content only; the next free ones on a collision."""
-    number = int.from_bytes(hashlib.sha256(content.encode()).digest()[:8], "big") % 10**14
-    while f"{number:014}" in taken:
-        number = (number + 1) % 10**14
-    return f"{number:014}"
+def stamp_of(digest: Column) -> Column:
+    """14 digits in the form of a time, from the first 64 bits of a hex digest; days stop at 28."""
+    n = F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)")
+    field = lambda step, size, first: F.pmod(F.floor(n / F.lit(step).cast("decimal(20,0)")), F.lit(size).cast("decimal(20,0)")).cast("int") + first
+    day = 86_400
+    return F.format_string("%04d%02d%02d%02d%02d%02d", field(day * 28 * 12, 100, 2000), field(day * 28, 12, 1), field(day, 28, 1), field(3600, 24, 0), field(60, 60, 0), field(1, 60, 0))
+
+
+def content_ids(rows: DataFrame, old_id: str, content: str, taken: DataFrame) -> DataFrame:
+    """rows with new_id, which depends on old_id and content only; ids that are taken (or minted for a lesser old_id of the batch) move on to the next attempt.
+    Rows are tried all at once, and those that collide again, until none does."""
+    open_rows, done = rows.withColumn("_try", F.lit(0)), None
+    used = taken.select(F.col("id").cast("string").alias("new_id"))
+    while not open_rows.isEmpty():
+        tried = open_rows.withColumn("new_id", stamp_of(F.sha2(F.concat_ws(":", F.col(old_id), F.col(content), F.col("_try").cast("string")), 256)))
+        nth = F.row_number().over(Window.partitionBy("new_id").orderBy(old_id, content))
+        judged = tried.withColumn("_nth", nth).join(used.distinct().withColumn("_used", F.lit(True)), "new_id", "left").persist()
+        good = judged.filter("_nth = 1 AND _used IS NULL").select(*rows.columns, "new_id")
+        done = good if done is None else done.unionByName(good)
+        used = used.unionByName(good.select("new_id"))
+        open_rows = judged.filter("_nth > 1 OR _used").select(*rows.columns, (F.col("_try") + 1).alias("_try"))
+    return done if done is not None else rows.withColumn("new_id", F.lit(None).cast("string"))

@@ -6,10 +6,12 @@ first heading of level 1, null if none). Null title, type, tags or map: as if mi
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.functions.scalars import kebab_case, title_from_path
+from inkfold.functions.scalars import kebab_case, template_title, title_from_path
 
 FIX = "array<struct<fix:string,severity:string,detail:string>>"
 
@@ -70,3 +72,39 @@ def fixes(docs: DataFrame, required: dict[str, str] | None = None) -> DataFrame:
         found(typedef & (F.try_element_at("meta", F.lit("origin")) == "manual"), "manual_typedef", "info", F.coalesce("title", F.lit("unknown"))),
     ]
     return docs.select("id", F.inline(F.concat(*parts)))
+
+
+def rendered_title(templates: dict[str, str]) -> Column:
+    """The title that a document's type asks for, from its frontmatter; null for types without a template."""
+    out = F.lit(None).cast("string")
+    for kind, template in templates.items():
+        values = {n: F.try_element_at("meta", F.lit(n)) for n in re.findall(r"\{([^}]*)\}", template)}
+        out = F.when(F.col("type") == kind, template_title(template, values, F.lit(kind), F.col("id"))).otherwise(out)
+    return out
+
+
+def template_fixes(docs: DataFrame, templates: dict[str, str]) -> DataFrame:
+    """id, fix, severity, detail of documents whose title is not what the template of their type makes of them."""
+    want = rendered_title(templates)
+    wrong = docs.select("id", "title", want.alias("want")).filter("want IS NOT NULL AND NOT title <=> want")
+    return wrong.select("id", F.lit("title_template").alias("fix"), F.lit("warning").alias("severity"), F.col("want").alias("detail"))
+
+
+def applied(docs: DataFrame, required: dict[str, str] | None = None, templates: dict[str, str] | None = None) -> DataFrame:
+    """docs with all fixes made: type, tags, title, keys in kebab case (of two that become one the first stays), required defaults, and inline keys
+    only where the frontmatter doesn't hold them."""
+    typedef = F.coalesce(F.col("type") == "_typedef", F.lit(False))
+    meta = F.coalesce("meta", F.create_map().cast("map<string,string>"))
+    entries = F.transform(F.map_entries(meta), lambda e: F.struct(kebab_case(e["key"]).alias("key"), e["value"].alias("value")))
+    names = F.transform(entries, lambda e: e["key"])
+    once = F.filter(entries, lambda e, i: F.array_position(names, e["key"]) == i + 1)
+    inline = F.coalesce("inline_keys", F.array().cast("array<string>"))
+    missing = [F.when(~F.array_contains(names, k) & ~F.array_contains(inline, k), F.struct(F.lit(k).alias("key"), F.lit(v).alias("value"))) for k, v in (required or {}).items()]
+    full = F.map_from_entries(F.concat(once, F.array_compact(F.array(*missing)))) if missing else F.map_from_entries(once)
+    out = docs.withColumn("type", F.coalesce(F.nullif("type", F.lit("")), F.lit("note"))).withColumn("tags", fixed_tags(F.coalesce("tags", F.array().cast("array<string>"))))
+    out = out.withColumn("title", F.when(typedef, F.col("title")).otherwise(fixed_title(F.col("title"), F.col("h1"), F.col("path")))).withColumn("meta", full)
+    if templates:
+        out = out.withColumn("title", F.coalesce(rendered_title(templates), F.col("title")))
+    core = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.lit(c)) for c in ("title", "type", "id")), F.when(F.size("tags") > 0, F.lit("tags"))))
+    held = F.array_union(F.map_keys("meta"), core)
+    return out.withColumn("inline_keys", F.filter(inline, lambda k: ~F.array_contains(held, k)))

@@ -16,9 +16,10 @@ def merged_references(base: Column, ours: Column, theirs: Column) -> Column:
     return F.array_sort(F.array_distinct(merged_list(base, ours, theirs)))
 
 
-def merged_scalar(base: Column, ours: Column, theirs: Column) -> Column:
-    """The side that changed; if both did, the greater value."""
-    return F.when(ours.eqNullSafe(base), theirs).when(theirs.eqNullSafe(base) | ours.eqNullSafe(theirs), ours).otherwise(F.greatest(ours, theirs))
+def merged_scalar(base: Column, ours: Column, theirs: Column, our_actor: Column | None = None, their_actor: Column | None = None) -> Column:
+    """The side that changed; if both did, the side whose actor (a hash of its content) is greater, or the greater value where none is given."""
+    both = F.greatest(ours, theirs) if our_actor is None else F.when(our_actor >= their_actor, ours).otherwise(theirs)
+    return F.when(ours.eqNullSafe(base), theirs).when(theirs.eqNullSafe(base) | ours.eqNullSafe(theirs), ours).otherwise(both)
 
 
 def merged_log(ours: Column, theirs: Column) -> Column:

@@ -84,17 +84,26 @@ class Catalog:
         return self.frames[name]
 
     def junction(self, table: str, relation: Relation) -> DataFrame:
-        """own_id, other_id of a relation, each pair once."""
-        return self.frames[relation.junction].select(F.col(relation.own).alias("own_id"), F.col(relation.other).alias("other_id")).filter("own_id IS NOT NULL AND other_id IS NOT NULL").distinct()
+        """own_id, other_id of a relation; pairs may repeat, which semi and anti joins don't mind."""
+        return self.frames[relation.junction].select(F.col(relation.own).alias("own_id"), F.col(relation.other).alias("other_id")).filter("own_id IS NOT NULL AND other_id IS NOT NULL")
 
 
 def plural(name: str) -> str:
-    """English plural of a type's name; a name that looks like a plural is one."""
-    if re.search(r"[^sui]s$", name):
-        return name
-    if re.search(r"[^aeiou]y$", name):
-        return name[:-1] + "ies"
-    return name + ("es" if re.search(r"(s|x|z|ch|sh)$", name) else "s")
+    """Plural of a type's name, by its ending alone; case is kept."""
+    low = name.lower()
+    if low.endswith(("s", "sh", "ch", "x", "z")):
+        return name + "es"
+    return name[:-1] + "ies" if low.endswith("y") and len(name) > 1 else name + "s"
+
+
+def type_name(name: str) -> str:
+    """Parts between hyphens, each with a capital letter, in one word."""
+    return "".join(x[:1].upper() + x[1:] for x in name.split("-"))
+
+
+def singular_field(column: str) -> str:
+    """Name of the field that expands a reference column."""
+    return column[:-3] if column.endswith("_id") and len(column) > 3 else column
 
 
 def reverse_fields(tables: dict[str, Table]) -> dict[str, dict[str, Relation]]:

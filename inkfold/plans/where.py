@@ -24,6 +24,7 @@ OPERATORS = {
     "boolean": {"eq", "notIn", "nin", "isNull"},
     "id": {"eq", "in", "notIn", "nin", "isNull"},
 }
+TAGS = "_tags"  # frame with document_id, tag
 QUANTIFIERS = ("some", "none", "every")
 
 
@@ -57,7 +58,7 @@ def condition(column: Column, op: str, value) -> Column:
 
 
 class Compiler:
-    def __init__(self, catalog: Catalog, strict: bool = True):
+    def __init__(self, catalog: Catalog, strict: bool = False):
         self.catalog, self.strict, self.flags = catalog, strict, itertools.count()
         self.reverse = reverse_fields(catalog.tables)
 
@@ -85,6 +86,10 @@ class Compiler:
                     parts.append(functools.reduce(operator.and_ if name == "_and" else operator.or_, items))
             elif name in table.columns and not (isinstance(spec, dict) and set(spec) & set(QUANTIFIERS)):
                 parts += self.column(table, name, spec)
+            elif name == "tags" and TAGS in self.catalog.frames and name not in table.relations:
+                for ids in self.tagged(spec):
+                    df, c = self.matched(df, table, ids, True, joined)
+                    parts += [c] if c is not None else []
             elif r := self.relation(table, name):
                 quantified = {q: spec[q] for q in QUANTIFIERS if q in spec}
                 inlined = {k: v for k, v in spec.items() if k not in QUANTIFIERS}
@@ -95,6 +100,25 @@ class Compiler:
                 raise FilterError(f"unknown field: {table.name}.{name}")
         return df, functools.reduce(operator.and_, parts) if parts else None
 
+    def tagged(self, spec: dict) -> list[DataFrame]:
+        """Ids (_match) for each operator of a tag filter; one frame for each tag that all of is asked for."""
+        if not set(spec) & {"contains", "containsAll", "containsAny"}:
+            raise FilterError("a tag filter needs contains, containsAll or containsAny")
+        tags = self.catalog.frames[TAGS]
+        with_any = lambda values: tags.filter(F.col("tag").isin(values)).select(F.col("document_id").alias("_match"))
+        out = []
+        for op in ("containsAll", "containsAny"):
+            if op in spec and not spec[op]:
+                raise FilterError(f"tags.{op} must not be empty")
+        if "contains" in spec:
+            out.append(with_any([spec["contains"]]))
+        if "containsAll" in spec:
+            wanted = sorted({*spec["containsAll"]})
+            out.append(tags.filter(F.col("tag").isin(wanted)).groupBy(F.col("document_id").alias("_match")).agg(F.count_distinct("tag").alias("n")).filter(F.col("n") == len(wanted)).select("_match"))
+        if "containsAny" in spec:
+            out.append(with_any(list(spec["containsAny"])))
+        return out
+
     def column(self, table: Table, name: str, spec: dict) -> list[Column]:
         c = table.columns[name]
         kind = "id" if name == table.key else "number" if c.kind in (INTEGER, REAL) else "boolean" if c.kind == BOOLEAN else "text"
@@ -114,10 +138,13 @@ class Compiler:
             else:
                 matched = self.filtered(target, sub, depth + 1)
             links = links.join(matched.select(F.col(target.key).alias("other_id")), "other_id", "left_semi")
-        ids = links.select(F.col("own_id").alias("_match")).distinct()
-        has = quantifier == "some"
+        return self.matched(df, table, links.select(F.col("own_id").alias("_match")), quantifier == "some", joined)
+
+    def matched(self, df: DataFrame, table: Table, ids: DataFrame, has: bool, joined: bool) -> tuple[DataFrame, Column | None]:
+        """Rows whose key is (not) among the ids: at once by a semi or anti join, else by a flag from a left join with the distinct ids."""
         if joined:
             return df.join(ids, F.col(table.key) == F.col("_match"), "left_semi" if has else "left_anti"), None
+        ids = ids.distinct()
         flag = f"_flag{next(self.flags)}"
         df = df.join(ids.select(F.col("_match").alias(f"{flag}_id"), F.lit(True).alias(flag)), F.col(table.key) == F.col(f"{flag}_id"), "left")
         found = F.coalesce(F.col(flag), F.lit(False))
@@ -148,19 +175,20 @@ def page(df: DataFrame, limit: int | None, offset: int | None, most: int = 10_00
     return df.limit(limit) if limit is not None else df
 
 
-def typed_list(catalog: Catalog, table: str, where: dict | None = None, order: list[tuple[str, str]] = (), limit: int | None = None, offset: int | None = None, distinct: str | None = None) -> DataFrame:
+def typed_list(catalog: Catalog, table: str, where: dict | None = None, order: list[tuple[str, str]] = (), limit: int | None = None, offset: int | None = None, distinct: str | None = None, strict: bool = False) -> DataFrame:
+    """Rows of a typed table; fields and order keys that it doesn't have are ignored, or are errors if strict."""
     t = catalog.tables[table]
-    df = Compiler(catalog).filtered(t, where or {})
-    keys = ordering(t, list(order))
+    df = Compiler(catalog, strict).filtered(t, where or {})
+    keys = ordering(t, list(order), strict)
     if distinct:
         df = df.withColumn("_nth", F.row_number().over(Window.partitionBy(distinct).orderBy(*keys))).filter("_nth = 1").drop("_nth")
     return page(df.orderBy(*keys), limit, offset)
 
 
-def typed_aggregate(catalog: Catalog, table: str, where: dict | None = None, group: str | None = None, distinct: str | None = None) -> DataFrame:
+def typed_aggregate(catalog: Catalog, table: str, where: dict | None = None, group: str | None = None, distinct: str | None = None, strict: bool = False) -> DataFrame:
     """count, and min, max, sum, avg of every number column; with group: one row for each key, null too."""
     t = catalog.tables[table]
-    df = Compiler(catalog).filtered(t, where or {})
+    df = Compiler(catalog, strict).filtered(t, where or {})
     numbers = [c.name for c in t.columns.values() if c.kind in (INTEGER, REAL) and c.name != t.key]
     total = F.count_distinct(distinct) if distinct else F.count("*")
     aggregates = [total.alias("count"), *(f(c).alias(f"{n}_{c}") for c in numbers for n, f in (("min", F.min), ("max", F.max), ("sum", F.sum), ("avg", F.avg)))]

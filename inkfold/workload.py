@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from inkfold.functions import scalars
 from inkfold.functions.snippets import snippet
 from inkfold.operators import fixers, graph, merge
+from inkfold.operators.closure import closure
 from inkfold.plans import search
 from inkfold.plans.catalog import Catalog, Column_, Relation, Table, inferred_schema
 from inkfold.plans.where import typed_aggregate, typed_list
@@ -95,15 +96,15 @@ for name, where, oracle in (
     ("FLT_07_is_null", {"c_mktsegment": {"isNull": False}, "c_name": {"isNull": False}}, "c_mktsegment IS NOT NULL"),
     ("FLT_08_and_or", {"_or": [{"c_acctbal": {"lt": -500}}, {"_and": [{"c_mktsegment": {"eq": "BUILDING"}}, {"c_acctbal": {"gt": 9000}}]}, {}]}, "c_acctbal < -500 OR (c_mktsegment = 'BUILDING' AND c_acctbal > 9000)"),
     ("FLT_09_implicit_and", {"c_mktsegment": {"eq": "BUILDING"}, "c_acctbal": {"gt": 0}}, "c_mktsegment = 'BUILDING' AND c_acctbal > 0"),
-    ("JN_01_some", {"orders": {"some": {"o_totalprice": {"gt": 300000}}}}, ORDERS.format("o_totalprice > 300000")),
-    ("JN_02_none", {"orders": {"none": {"o_orderstatus": {"eq": "F"}}}}, "NOT " + ORDERS.format("o_orderstatus = 'F'")),
-    ("JN_03_every", {"orders": {"every": {"o_totalprice": {"gt": 50000}}}}, "NOT " + ORDERS.format("NOT o_totalprice > 50000")),
-    ("JN_04_some_any", {"orders": {"some": {}}}, ORDERS.format("TRUE")),
-    ("JN_04_none_any", {"orders": {"none": {}}}, "NOT " + ORDERS.format("TRUE")),
-    ("JN_04_every_any", {"orders": {"every": {}}}, "TRUE"),
+    ("JN_01_some", {"orderses": {"some": {"o_totalprice": {"gt": 300000}}}}, ORDERS.format("o_totalprice > 300000")),
+    ("JN_02_none", {"orderses": {"none": {"o_orderstatus": {"eq": "F"}}}}, "NOT " + ORDERS.format("o_orderstatus = 'F'")),
+    ("JN_03_every", {"orderses": {"every": {"o_totalprice": {"gt": 50000}}}}, "NOT " + ORDERS.format("NOT o_totalprice > 50000")),
+    ("JN_04_some_any", {"orderses": {"some": {}}}, ORDERS.format("TRUE")),
+    ("JN_04_none_any", {"orderses": {"none": {}}}, "NOT " + ORDERS.format("TRUE")),
+    ("JN_04_every_any", {"orderses": {"every": {}}}, "TRUE"),
     ("JN_05_inlined", {"nation": {"n_name": {"startsWith": "C"}}}, "EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey AND n_name ILIKE 'C%')"),
     ("JN_06_key_column", {"c_nationkey": {"in": [1, 2]}}, "c_nationkey IN (1, 2)"),
-    ("JN_07_reverse_or", {"_or": [{"orders": {"some": {"o_orderpriority": {"eq": "1-URGENT"}}}}, {"c_acctbal": {"gt": 9500}}]}, ORDERS.format("o_orderpriority = '1-URGENT'") + " OR c_acctbal > 9500"),
+    ("JN_07_reverse_or", {"_or": [{"orderses": {"some": {"o_orderpriority": {"eq": "1-URGENT"}}}}, {"c_acctbal": {"gt": 9500}}]}, ORDERS.format("o_orderpriority = '1-URGENT'") + " OR c_acctbal > 9500"),
     ("JN_09_nested", {"nation": {"some": {"region": {"none": {"r_name": {"in": ["ASIA", "AFRICA"]}}}}}}, "EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey AND NOT EXISTS (SELECT 1 FROM region WHERE r_regionkey = n_regionkey AND r_name IN ('ASIA', 'AFRICA')))"),
 ):
     listing(name, "customer", where, f"WHERE {oracle}", C)
@@ -191,12 +192,12 @@ def _(spark, sf_dir):
 
 @query("SRC_02_point_read", "SELECT cast(doc_id AS VARCHAR) AS id, length(text) AS n FROM documents WHERE doc_id = 17")
 def _(spark, sf_dir):
-    return corpus(spark, sf_dir).filter("id = '17'").select("id", F.length("body").cast("long").alias("n"))
+    return corpus(spark, sf_dir).filter("doc_id = 17").select("id", F.length("body").cast("long").alias("n"))
 
 
 @query("SRC_03_batch_read", "SELECT cast(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id IN (3, 5, 8)")
 def _(spark, sf_dir):
-    return corpus(spark, sf_dir).join(F.broadcast(spark.createDataFrame([("3",), ("5",), ("8",), ("none",)], "id string")), "id", "left_semi").select("id")
+    return corpus(spark, sf_dir).filter(F.col("doc_id").isin([3, 5, 8, -1])).select("id")
 
 
 @query("SRC_06_change_feed", "SELECT path, CASE WHEN doc_id % 10 = 0 THEN 'Deleted' WHEN doc_id % 10 = 1 THEN 'Added' ELSE 'Modified' END AS kind FROM (SELECT doc_id, 'docs/' || cast(doc_id AS VARCHAR) || '.md' AS path FROM documents) t WHERE doc_id % 10 IN (0, 1, 2)")
@@ -226,7 +227,7 @@ def _(spark, sf_dir):
 
 @query("PRS_06_fields", f"SELECT id AS document_id, 'status' AS key, regexp_extract(body, 'status:: ([^\\n]*)', 1) AS value FROM {MARKED}")
 def _(spark, sf_dir):
-    return parse.field_table(marked(spark, sf_dir))
+    return parse.field_table(marked(spark, sf_dir)).select("document_id", "key", "value")
 
 
 LINK_SQL = f"""SELECT id AS source_id, regexp_extract(body, '!\\[\\[([^\\]|]+)', 1) AS target, 'embed' AS kind FROM {MARKED}
@@ -237,7 +238,7 @@ UNION ALL SELECT id, rtrim(regexp_extract(body, 'https://\\S+'), '.'), 'url' FRO
 
 @query("PRS_07_11_links", LINK_SQL)
 def _(spark, sf_dir):
-    return parse.link_table(marked(spark, sf_dir))
+    return parse.link_table(marked(spark, sf_dir)).select("source_id", "target", "kind")
 
 
 @query("PRS_13_rename_links", f"SELECT id, replace(body, '![[img1.png]]', '![[new.png]]') AS body FROM {MARKED} WHERE cast(id AS INT) % 5 = 1")
@@ -266,7 +267,7 @@ sql("JN_16_expand_reference", "SELECT o_orderkey, c_name, n_name FROM orders LEF
 
 @query("JN_15_resolve", f"SELECT id, path FROM {DOCS} WHERE id = '12'")
 def _(spark, sf_dir):
-    return graph.nearest_name(corpus(spark, sf_dir), "12").select("id", "path")
+    return graph.resolved(spark.createDataFrame([("12",)], "target string"), corpus(spark, sf_dir), alias_table(spark, sf_dir)).select("id", "path")
 
 
 @query("JN_17_expand_plural", "SELECT c_custkey, string_agg(cast(o_orderkey AS VARCHAR), ',' ORDER BY o_totalprice DESC, o_orderkey) AS orders FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) JOIN customer ON c_custkey = o_custkey WHERE n <= 3 GROUP BY c_custkey")
@@ -414,7 +415,7 @@ def _(spark, sf_dir):
 
     tree = pair("nation", "n_nationkey", "n_regionkey", "n", "r").unionByName(pair("customer", "c_custkey", "c_nationkey", "c", "n"))
     roots = read(spark, sf_dir, "region").filter("r_name = 'ASIA'").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"))
-    return merge.cascade(tree, roots)
+    return closure(tree, roots)
 
 
 @query("MAT_03_inference", "SELECT event_type AS type, 'value' AS key, 'REAL' AS inferred FROM events GROUP BY 1 UNION ALL SELECT event_type, 'user', 'INTEGER' FROM events GROUP BY 1 UNION ALL SELECT event_type, 'props', 'TEXT' FROM events GROUP BY 1")
@@ -488,7 +489,9 @@ sql("DEL_27_json", "SELECT event_id, cast(get_json_object(props, '$.k') AS BIGIN
 def _(spark, sf_dir):
     from inkfold.streaming.changes import change_events
 
-    return change_events(read(spark, sf_dir, "events")).filter("document_type <> 'view'").select(F.col("document_id").alias("event_id"), "kind")
+    kind = F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "error", "deleted").otherwise("updated")
+    found = change_events(read(spark, sf_dir, "events"), kind, F.col("event_id"), F.col("event_type"), F.col("ts"))
+    return found.filter("document_type <> 'view'").select(F.col("document_id").alias("event_id"), "kind")
 
 
 

@@ -45,3 +45,13 @@ def test_fixes(spark):
     right = docs.select("id", fixers.fixed_tags(F.col("tags")).alias("tags"), fixers.fixed_title(F.col("title"), F.col("h1"), F.col("path")).alias("title"))
     assert {r.id: (r.tags, r.title) for r in right.collect()} == {"1": (["a", "b"], "Good"), "2": (None, "My note"), "3": (["a", "z"], "Kept"), "4": ([], "T"), "5": ([], "Head")}
     assert fixers.fixes(docs.limit(0)).count() == 0
+
+
+def test_applied(spark):
+    rows = [("1", "docs/20240101000000-my_note.md", " good", None, ["#b", "a", "B"], {"dueDate": "x", "name": "N"}, ["name", "other"], None), ("2", "docs/20240101000000-my_note.md", None, "book", None, {"name": "N"}, None, None)]
+    docs = spark.createDataFrame(rows, "id string, path string, title string, type string, tags array<string>, meta map<string,string>, inline_keys array<string>, h1 string")
+    assert {r.id: r.detail for r in fixers.template_fixes(docs, {"book": "{name} {none}"}).collect()} == {"2": "N"}
+    got = {r.id: r for r in fixers.applied(docs, {"kind": "k", "other": "o"}, {"book": "{name} {none}"}).collect()}
+    assert (got["1"].title, got["1"].type, got["1"].tags, got["1"].meta, got["1"].inline_keys) == ("Good", "note", ["a", "b"], {"due-date": "x", "name": "N", "kind": "k"}, ["other"])
+    assert (got["2"].title, got["2"].type, got["2"].tags, got["2"].meta) == ("N", "book", [], {"name": "N", "kind": "k", "other": "o"})
+    assert fixers.fixes(fixers.applied(docs)).filter("fix NOT IN ('h1_aligned')").count() == 0, "what was put right needs no fix"

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from inkfold.workload import ORACLES, QUERIES
+from inkfold.workload_engine import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
