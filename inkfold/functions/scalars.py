@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,3 +116,114 @@ def content_ids(rows: DataFrame, old_id: str, content: str, taken: DataFrame) ->
         used = used.unionByName(good.select("new_id"))
         open_rows = judged.filter("_nth > 1 OR _used").select(*rows.columns, (F.col("_try") + 1).alias("_try"))
     return done if done is not None else rows.withColumn("new_id", F.lit(None).cast("string"))
+
+
+# --- paths into nested values -------------------------------------------------------------------
+
+
+class PathError(ValueError):
+    """A path that can't be read, or that a value doesn't have."""
+
+
+def path_steps(path: str) -> list[str | int]:
+    """Keys and indexes of a.b[0].c; \\\\ takes the next character as it is."""
+    steps: list[str | int] = []
+    key, at, open_key = "", 0, True
+    while at < len(path):
+        c = path[at]
+        if c == "\\" and at + 1 < len(path):
+            key, at = key + path[at + 1], at + 1
+        elif c == ".":
+            if open_key and not key:
+                raise PathError(f"empty key in {path}")
+            steps += [key] if open_key else []
+            key, open_key = "", True
+            if at == len(path) - 1:
+                raise PathError(f"{path} ends in a dot")
+        elif c == "[":
+            if open_key and not key:
+                raise PathError(f"empty key in {path}")
+            steps += [key] if open_key else []
+            key, open_key, end = "", False, path.find("]", at)
+            if end < 0 or not path[at + 1 : end].isdigit():
+                raise PathError(f"bad index in {path}")
+            steps.append(int(path[at + 1 : end]))
+            at = end
+        elif not open_key:
+            raise PathError(f"a key must follow a dot in {path}")
+        else:
+            key += c
+        at += 1
+    if open_key:
+        if not key:
+            raise PathError("empty path")
+        steps.append(key)
+    if isinstance(steps[0], int):
+        raise PathError(f"{path} begins with an index")
+    return steps
+
+
+def value_at(value, path: str):
+    for step in path_steps(path):
+        if not isinstance(value, list if isinstance(step, int) else dict):
+            raise PathError(f"{path}: wrong kind of value at {step}")
+        if (step >= len(value)) if isinstance(step, int) else (step not in value):
+            raise PathError(f"{path}: nothing at {step}")
+        value = value[step]
+    return value
+
+
+def with_value(value: dict, path: str, new):
+    """value with new at a path: maps and lists on the way are made, lists are filled up with empty texts."""
+    steps = path_steps(path)
+    here = value
+    for step, after in zip(steps, [*steps[1:], None], strict=True):
+        if not isinstance(here, list if isinstance(step, int) else dict):
+            raise PathError(f"{path}: wrong kind of value at {step}")
+        if isinstance(step, int):
+            here += [""] * (step + 1 - len(here))
+        if after is None:
+            here[step] = new
+        else:
+            empty = [] if isinstance(after, int) else {}
+            if (here[step] == "" if isinstance(step, int) else step not in here):
+                here[step] = empty
+            here = here[step]
+    return value
+
+
+def without_value(value: dict, path: str):
+    value_at(value, path)
+    here, steps = value, path_steps(path)
+    for step in steps[:-1]:
+        here = here[step]
+    del here[steps[-1]]
+    return value
+
+
+def on_paths(function, document: Column, path: Column, new: Column | None = None) -> Column:
+    """One of the three functions above on a JSON text, in Arrow batches; null where it fails. Values are JSON too."""
+
+    def run(documents, paths, values=None):
+        out = []
+        for k, (d, p) in enumerate(zip(documents, paths, strict=True)):
+            try:
+                more = () if values is None else (json.loads(values.iloc[k]),)
+                out.append(None if d is None or p is None else json.dumps(function(json.loads(d), p, *more), ensure_ascii=False, sort_keys=True))
+            except PathError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    def two(d: pd.Series, p: pd.Series) -> pd.Series:
+        return run(d, p)
+
+    def three(d: pd.Series, p: pd.Series, n: pd.Series) -> pd.Series:
+        return run(d, p, n)
+
+    return F.pandas_udf(two, "string")(document, path) if new is None else F.pandas_udf(three, "string")(document, path, new)
+
+
+def merged_fields(fields: Column, changes: Column) -> Column:
+    """A map of fields with changes: a null value takes a field away, any other sets it."""
+    kept = F.map_filter(fields, lambda k, v: ~F.map_contains_key(changes, k))
+    return F.map_concat(kept, F.map_filter(changes, lambda k, v: v.isNotNull()))

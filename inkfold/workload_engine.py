@@ -13,15 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfold.functions import scalars
-from inkfold.operators import graph, merge
-from inkfold.plans import expand, generic
+from inkfold.operators import graph, merge, sync
+from inkfold.plans import expand, generic, schema_apply
 from inkfold.plans import index as inverted
 from inkfold.plans.catalog import Catalog, Column_, Table
 from inkfold.plans.database import Database
 from inkfold.plans.where import TAGS, typed_list
 from inkfold.sources import corpus as files
 from inkfold.sources import documents as parse
-from inkfold.workload import ALIASES, DOCS, LINKS, NAMES, ORACLES, QUERIES, alias_table, catalog, corpus, edges, query, read
+from inkfold.streaming import changes
+from inkfold.workload import ALIASES, DOCS, LINKS, NAMES, ORACLES, QUERIES, alias_table, catalog, corpus, edges, query, read, sql
 
 # --- parsing of texts with fences and code -----------------------------------------------------
 
@@ -501,3 +502,101 @@ def content_ids(spark, sf_dir):
     return scalars.content_ids(rows, "id", "lang", spark.createDataFrame([], "id string")).select("id", "new_id")
 
 
+
+
+# --- the rest ---------------------------------------------------------------------------------
+
+
+@query("SRC_10_get", "SELECT cast(doc_id AS VARCHAR) AS id, lang AS type FROM documents WHERE doc_id = 42")
+def get(spark, sf_dir):
+    return corpus(spark, sf_dir).filter("doc_id = 42").select("id", "type")
+
+
+@query("PRS_15_index_texts", "SELECT cast(doc_id AS VARCHAR) AS id, concat_ws(', ', least(lang, source), greatest(lang, source)) AS tags, concat_ws(' ', source, cast(n_chars AS VARCHAR)) AS fields FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def index_texts(spark, sf_dir):
+    rows = inverted.index_texts(corpus(spark, sf_dir).filter("type IS NOT NULL AND tags[1] IS NOT NULL"), tag_rows(spark, sf_dir), field_rows(spark, sf_dir))
+    return rows.select("id", "tags", "fields")
+
+
+@query("FN_28_paths", """SELECT c_custkey, '"' || c_mktsegment || '"' AS got, '{"a": {"b": ["", "new"]}, "n": ' || c_nationkey || '}' AS set, '{"n": ' || c_nationkey || '}' AS removed, NULL::VARCHAR AS missing FROM customer""")
+def paths(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    document = F.to_json(F.struct(F.struct(F.array("c_mktsegment").alias("b")).alias("a"), F.col("c_nationkey").alias("n")))
+    short = F.to_json(F.struct(F.col("c_nationkey").alias("n")))
+    return c.select(
+        "c_custkey", scalars.on_paths(scalars.value_at, document, F.lit("a.b[0]")).alias("got"), scalars.on_paths(scalars.with_value, short, F.lit("a.b[1]"), F.lit('"new"')).alias("set"),
+        scalars.on_paths(scalars.without_value, document, F.lit("a")).alias("removed"), scalars.on_paths(scalars.value_at, document, F.lit("a.b[7]")).alias("missing"),
+    )
+
+
+@query("FN_24_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def dates(spark, sf_dir):
+    o, day = read(spark, sf_dir, "orders"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = F.when(F.col("o_orderkey") % 2 == 0, day).otherwise(F.concat(day, F.lit("T10:00:00+00:00")))
+    return o.select("o_orderkey", F.date_format(scalars.parsed_date(text), "yyyy-MM-dd").alias("day"))
+
+
+@query("DML_19_merge_fields", "SELECT c_custkey, c_mktsegment AS a, 'new' AS b, NULL::VARCHAR AS c FROM customer")
+def merge_fields(spark, sf_dir):
+    have, change = F.create_map(F.lit("a"), F.col("c_mktsegment"), F.lit("b"), F.lit("old"), F.lit("c"), F.lit("x")), F.create_map(F.lit("b"), F.lit("new"), F.lit("c"), F.lit(None).cast("string"))
+    rows = read(spark, sf_dir, "customer").select("c_custkey", scalars.merged_fields(have, change).alias("m"))
+    return rows.select("c_custkey", *(F.try_element_at("m", F.lit(k)).alias(k) for k in "abc"))
+
+
+@query("DDL_10_declared_schema", "SELECT c_name AS name, 'note on ' || c_name AS title FROM customer WHERE c_custkey < 50")
+def declared_schema(spark, sf_dir):
+    db = Database(spark, clock=lambda: CLOCK)
+    schema_apply.apply(db, {"tables": {"memo": {"columns": {"name": {"type": "VARCHAR(30)", "required": True}}, "unique": [["name"]], "title_template": "note on {name}"}}})
+    db.insert_rows("memo", read(spark, sf_dir, "customer").filter("c_custkey < 50").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name")), ["id"])
+    return db.select("SELECT name, title FROM memo")
+
+
+def customer_files(spark, sf_dir):
+    """One document for each customer, with its numbers in the frontmatter and its nation as a reference."""
+    c = read(spark, sf_dir, "customer")
+    text = F.format_string("---\nid: c%s\ntitle: %s\ntype: client\nbalance: %s\nlimit: %s\n---\n## Segment\n\n%s\n---\n- nation:: [[n%s]]\n", "c_custkey", F.replace("c_name", F.lit("#"), F.lit(" ")), F.col("c_acctbal").cast("string"), "c_nationkey", "c_mktsegment", "c_nationkey")
+    return c.select(F.concat(F.lit("client/"), F.col("c_custkey").cast("string"), F.lit(".md")).alias("path"), text.alias("content"))
+
+
+@query("MAT_02_typed_tables", "SELECT 'c' || c_custkey AS id, replace(c_name, '#', ' ') AS title, c_acctbal AS balance, c_nationkey::BIGINT AS \"limit\", c_mktsegment AS segment, 'n' || c_nationkey AS nation FROM customer")
+def typed_tables(spark, sf_dir):
+    return files.materialized(files.index_tables(customer_files(spark, sf_dir)))[1]["client"].select("id", "title", "balance", "limit", "segment", "nation")
+
+
+@query("MAT_07_warnings", "SELECT 'bad/' || c_custkey || '.md' AS path, 'unreadable' AS kind FROM customer WHERE c_custkey % 10 = 0")
+def warnings(spark, sf_dir):
+    c = customer_files(spark, sf_dir)
+    bad = read(spark, sf_dir, "customer").filter("c_custkey % 10 = 0").select(F.concat(F.lit("bad/"), F.col("c_custkey").cast("string"), F.lit(".md")).alias("path"), F.lit("---\n: [\n---\n").alias("content"))
+    return files.index_tables(c.unionByName(bad)).warnings.select("path", "kind")
+
+
+@query("MRG_07_10_snapshots", "SELECT 'd/' || doc_id || '.md' AS path, CASE doc_id % 5 WHEN 0 THEN 'same' WHEN 1 THEN 'ours' WHEN 2 THEN 'theirs' ELSE 'resurrected' END AS how, md5(CASE doc_id % 5 WHEN 1 THEN 'ours' WHEN 2 THEN 'theirs' WHEN 3 THEN '---' || chr(10) || 'resurrected: true' || chr(10) || 'new' ELSE coalesce(text, '') END) AS content FROM documents WHERE doc_id % 5 <> 4")
+def snapshots(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.format_string("d/%s.md", "doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    k = F.col("doc_id") % 5
+    ours = d.filter(k != 4).withColumn("content", F.when(k == 1, "ours").when(k == 3, "---\nnew").otherwise(F.col("content")))
+    theirs = d.filter(~k.isin(3)).withColumn("content", F.when(k == 2, "theirs").otherwise(F.col("content")))
+    return sync.merged_snapshot(d, ours, theirs).select("path", "how", F.md5("content").alias("content"))
+
+
+@query("STR_02_emitted", "SELECT cast(doc_id AS VARCHAR) AS document_id, CASE doc_id % 10 WHEN 0 THEN 'deleted' WHEN 1 THEN 'created' ELSE 'updated' END AS kind, lang AS document_type FROM documents WHERE doc_id % 10 IN (0, 1, 2)")
+def emitted_events(spark, sf_dir):
+    d = corpus(spark, sf_dir).select("id", "type", F.coalesce("body", F.lit("")).alias("content"), "doc_id")
+    new = d.filter("doc_id % 10 <> 0").withColumn("content", F.when(F.expr("doc_id % 10 = 2"), F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    return changes.emitted(d.filter("doc_id % 10 <> 1"), new, "2024-01-01").select("document_id", "kind", "document_type")
+
+
+@query("MRG_12_stale_nodes", "SELECT user_id FROM (SELECT user_id, max(ts) AS t FROM events GROUP BY 1) WHERE date_diff('day', t::DATE, DATE '2025-06-01') > 90")
+def stale_nodes(spark, sf_dir):
+    nodes = read(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").cast("string").alias("last_sync"))
+    return sync.stale_nodes(nodes, "2025-06-01").select("user_id")
+
+
+for name, text in {
+    "DEL_07_cross_right_natural": "SELECT 'cross' AS kind, count(*) AS n FROM nation a CROSS JOIN region b UNION ALL SELECT 'right', count(*) FROM customer RIGHT JOIN nation ON c_nationkey = n_nationkey AND c_acctbal > 9000 UNION ALL SELECT 'natural', count(*) FROM nation NATURAL JOIN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) t UNION ALL SELECT 'using', count(*) FROM nation JOIN (SELECT n_nationkey FROM nation WHERE n_regionkey < 2) u USING (n_nationkey)",
+    "DEL_16_more_windows": "SELECT o_orderkey, round(percent_rank() OVER w, 6) AS p, round(cume_dist() OVER w, 6) AS c, nth_value(o_orderkey, 2) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second, last_value(o_orderkey) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey)",
+    "DEL_17_range_frames": "SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS n FROM orders",
+    "FN_02_07_11_built_in": "SELECT c_custkey, ifnull(nullif(c_mktsegment, 'BUILDING'), 'none') AS a, trim(concat('  ', c_name, ' ')) AS b, c_name || '-' || c_mktsegment AS c FROM customer",
+}.items():
+    sql(name, text)
+sql("DEL_13_string_agg", "SELECT n_regionkey, string_agg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names, coalesce(sum(cast(n_nationkey AS DOUBLE)), 0.0) AS total FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names, coalesce(sum(cast(n_nationkey AS DOUBLE)), 0.0) AS total FROM nation GROUP BY n_regionkey")

@@ -12,6 +12,15 @@ from inkfold.plans.statements import StatementError, statements
 from inkfold.plans.where import typed_list
 from inkfold.sources.store import Store, StoreConflict
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """Rows here are few."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 TABLES = """
 CREATE TABLE person (name VARCHAR(10) NOT NULL, age INTEGER, ok BOOLEAN, kind ENUM('a','b'), pos INTEGER DEFAULT NEXT, UNIQUE(name));
 CREATE TABLE task (what TEXT, owner_id TEXT REFERENCES person ON DELETE CASCADE, nth INTEGER DEFAULT NEXT(owner_id), boss TEXT REFERENCES person)"""

@@ -13,6 +13,15 @@ from inkfold.plans.search import SearchError
 from inkfold.plans.where import FilterError
 from inkfold.sources import corpus
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """Rows here are few."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 FILES = {
     "_typedef/20240101000001.md": "---\nid: '20240101000001'\ntitle: book\ntype: _typedef\nsearch_key: name\ncolumns:\n  - {name: name, data_type: TEXT, zone: frontmatter, search_boost: 3}\n  - {name: pages, data_type: INTEGER, required: true}\n  - {name: author, data_type: TEXT, references: person}\n---\n",
     "_typedef/20240101000002.md": "---\nid: '20240101000002'\ntitle: person\ntype: _typedef\ncolumns:\n  - {name: nick, data_type: TEXT, zone: frontmatter}\n---\n",
