@@ -166,6 +166,33 @@ def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return first, inverse
 
 
+LETTERS = np.zeros(256, bool)
+LETTERS[0x41:0x5B] = LETTERS[0x61:0x7B] = True
+
+
+def parts(data: np.ndarray, off: np.ndarray, whole: bool, size: int = CHUNK):
+    """(first text, last text, bytes, offsets) of some texts at once. A very long text comes in parts that begin at a blank between two ASCII letters, where a
+    pre-token always begins; as a whole if it has no such place, or if whole is set."""
+    for lo, hi in chunks(off, size):
+        part = data[off[lo] : off[hi]]
+        if whole or hi - lo > 1 or len(part) <= 2 * size:
+            yield lo, hi, part, off[lo : hi + 1] - off[lo]
+            continue
+        at = 0
+        while at < len(part):
+            end = at + size
+            while end < len(part) - 1:
+                piece = part[end - 1 : end + size + 1]
+                cut = np.flatnonzero((piece[1:-1] == 0x20) & LETTERS[piece[:-2]] & LETTERS[piece[2:]])
+                if len(cut):
+                    end += int(cut[0])
+                    break
+                end += size
+            end = end if end < len(part) - 1 else len(part)
+            yield lo, hi, part[at:end], np.array([0, end - at])
+            at = end
+
+
 def count_tokens(docs: DataFrame, vocab_path: str, limit: int, key: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of each text."""
 
@@ -174,8 +201,7 @@ def count_tokens(docs: DataFrame, vocab_path: str, limit: int, key: str = "doc_i
         for batch in batches:
             ids, data, off = text_arrays(batch, key)
             tokens = np.zeros(len(ids), np.int64)
-            for lo, hi in chunks(off, CHUNK):
-                part, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+            for lo, hi, part, o in parts(data, off, any(" " in x for x in vocab.special)):
                 if not len(part):
                     continue
                 starts, ends, first, kind = pieces(part, o, list(vocab.special))
@@ -183,7 +209,7 @@ def count_tokens(docs: DataFrame, vocab_path: str, limit: int, key: str = "doc_i
                 _, counts = vocab.merge(part[ragged_index(starts[one], (ends - starts)[one])], (ends - starts)[one])
                 each = np.where(kind >= 0, 1, counts[inverse])
                 total = np.concatenate([[0], np.cumsum(each)])
-                tokens[lo:hi] = total[first[1:]] - total[first[:-1]]
+                tokens[lo:hi] += total[first[1:]] - total[first[:-1]]
             yield pa.RecordBatch.from_arrays([ids_out(ids), pa.array(np.diff(off)), pa.array(tokens), pa.array(tokens > limit)], [key, "n_bytes", "n_tokens", "over_limit"])
 
     return id_and_text(docs, key).mapInArrow(run, f"{key} long, n_bytes long, n_tokens long, over_limit boolean")

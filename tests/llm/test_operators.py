@@ -113,6 +113,20 @@ def test_substring_dedup(docs, empty, bucket, monkeypatch):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_long_texts_are_counted_in_parts():
+    dice = random.Random(4)
+    text = "".join(dice.choice(["word", " ", " two", "  ", "\n", "é", " ünd", "12", " 3", "don't", " x", "!", "<|endoftext|>", " a b"]) for _ in range(6000))
+    data = np.frombuffer(text.encode(), np.uint8)
+    found = list(token_counts.parts(data, np.array([0, len(data)]), False, 500))
+    assert len(found) > 20 and b"".join(p.tobytes() for _, _, p, _ in found) == text.encode()
+    library = Tokenizer.from_file(PATH)
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    assert sum(count(p.tobytes().decode()) for _, _, p, _ in found) == count(text)
+    assert len(list(token_counts.parts(data, np.array([0, len(data)]), True, 500))) == 1
+    plain = np.full(5000, 0x78, np.uint8)
+    assert [len(p) for _, _, p, _ in token_counts.parts(plain, np.array([0, 5000]), False, 500)] == [5000]
+
+
 def test_sort_order():
     keys = np.random.default_rng(1).integers(0, 50, 5000, np.uint64)  # differ in last bits only
     keys[::3] += np.uint64(1 << 63)
