@@ -73,7 +73,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def assess(docs: DataFrame, least_words: int = 50, most_repeated: int = 50, most_lost: float = 0.5) -> DataFrame:
-    """All columns of docs, and struct `quality`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
+    """All columns of docs, and struct `quality` (in place of a column of that name): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     lost (share of word characters in failed lines), clean (the text without them)."""
     text = F.coalesce(F.col("text"), F.lit(""))
 
