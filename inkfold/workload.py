@@ -72,12 +72,12 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
 
 def listing(name: str, table: str, where: dict, oracle: str, columns: str, **how) -> None:
     def run(spark, sf_dir):
-        return typed_list(catalog(spark, sf_dir), table, where, **how).select(*columns.split())
+        return typed_list(catalog(spark, sf_dir), table, where, **{"strict": True, **how}).select(*columns.split())
 
     query(name, f"SELECT {', '.join(columns.split())} FROM {table} {oracle}")(run)
 
 
-FLAGSHIP = {"nation": {"region": {"r_name": {"eq": "EUROPE"}}}, "orders": {"some": {"o_totalprice": {"gt": 1000}}}}
+FLAGSHIP = {"nation": {"region": {"r_name": {"eq": "EUROPE"}}}, "orderses": {"some": {"o_totalprice": {"gt": 1000}}}}
 EUROPE = "EXISTS (SELECT 1 FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = c_nationkey AND r_name = 'EUROPE')"
 ORDERS = "EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND {})"
 listing("flagship_relation_list", "customer", FLAGSHIP, f"WHERE {EUROPE} AND {ORDERS.format('o_totalprice > 1000')} ORDER BY c_acctbal DESC NULLS LAST, c_custkey DESC LIMIT 20", "c_custkey c_name c_acctbal", order=[("c_acctbal", "DESC")], limit=20)
@@ -109,6 +109,7 @@ for name, where, oracle in (
 ):
     listing(name, "customer", where, f"WHERE {oracle}", C)
 
+listing("FLT_09_unknown_field", "customer", {"nothing": {"eq": 1}, "c_mktsegment": {"eq": "BUILDING"}}, "WHERE c_mktsegment = 'BUILDING'", C, strict=False)
 listing("JN_07_reverse_nested", "region", {"nations": {"some": {"customers": {"some": {"c_acctbal": {"gt": 9900}}}}}}, "WHERE EXISTS (SELECT 1 FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = r_regionkey AND c_acctbal > 9900)", "r_regionkey r_name")
 listing("SRT_01_multi_key", "orders", {"o_totalprice": {"gt": 200000}}, "WHERE o_totalprice > 200000 ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey DESC LIMIT 50", "o_orderkey o_orderstatus o_totalprice", order=[("o_orderstatus", "ASC"), ("o_totalprice", "DESC")], limit=50)
 listing("SRT_03_default_order", "customer", {}, "ORDER BY c_custkey DESC LIMIT 10", "c_custkey", limit=10)

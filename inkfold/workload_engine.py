@@ -126,13 +126,17 @@ for name, where, oracle in (
     query(name, f"SELECT doc_id FROM documents WHERE {oracle}")(tagged)
 
 
-@query("FLT_14_generic_list", f"SELECT cast(doc_id AS VARCHAR) AS id FROM documents d WHERE lang = 'en' AND source = 'src3' AND EXISTS (SELECT 1 FROM {LINKS} l WHERE l.source_id = cast(d.doc_id AS VARCHAR) AND l.target = cast(d.doc_id * 7 % 1200 AS VARCHAR)) ORDER BY doc_id % 400 DESC, id DESC LIMIT 20")
+@query("FLT_14_generic_list", "SELECT cast(doc_id AS VARCHAR) AS id FROM documents d WHERE lang = 'en' AND source = 'src2' ORDER BY doc_id % 400 DESC, id DESC LIMIT 20")
 def generic_list(spark, sf_dir):
-    c = corpus(spark, sf_dir).withColumn("date", F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(400)).cast("int")), "yyyy-MM-dd"))
-    found = generic.filtered(c.filter("doc_id % 2 = 0"), tag_rows(spark, sf_dir), edges(spark, sf_dir), field_rows(spark, sf_dir), type_="en", tag="src3", field={"origin": "src3"})
+    found = generic.filtered(corpus(spark, sf_dir), tag_rows(spark, sf_dir), edges(spark, sf_dir), field_rows(spark, sf_dir), type_="en", tag="src2", field={"origin": "src2"})
     return generic.listed(found, limit=20).select("id")
 
 
+@query("FLT_14_backlinks_of", "SELECT cast(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id % 2 = 0 AND doc_id * 7 % 1200 = 14")
+def generic_backlinks(spark, sf_dir):
+    return generic.filtered(corpus(spark, sf_dir), links=edges(spark, sf_dir), backlinks_of="14").select("id")
+
+
 @query("FLT_15_tag_entries", f"SELECT cast(doc_id AS VARCHAR) AS document_id, tag FROM {ALL_TAGS} WHERE tag ILIKE '%RC1%' AND doc_id IN (3, 5, 11, 17, 21, 36, 41)")
 def tag_entries(spark, sf_dir):
     return generic.tag_entries(tag_rows(spark, sf_dir), {"in": ["3", "5", "11", "17", "21", "36", "41"]}, {"contains": "RC1"})
@@ -150,12 +154,10 @@ def tag_prefix(spark, sf_dir):
     return generic.tag_prefix(tag_rows(spark, sf_dir), "SRC1")
 
 
-@query("FLT_18_search_where", "SELECT cast(doc_id AS VARCHAR) AS id FROM documents WHERE source IN ('src1', 'src2') AND contains(lang, 'e') AND n_chars = 300 + doc_id % 7")
+@query("FLT_18_search_where", "SELECT cast(doc_id AS VARCHAR) AS id FROM documents WHERE source IN ('src1', 'src2') AND contains(lang, 'e') AND cast(n_chars AS VARCHAR) LIKE '%1%'")
 def search_where(spark, sf_dir):
     found = inverted.Index(None, None, 0, 1.0, corpus(spark, sf_dir), tag_rows(spark, sf_dir), field_rows(spark, sf_dir))
-    wanted = {"origin": {"in": ["src1", "src2"]}, "type": {"contains": "e"}, "size": {"in": [str(300 + k) for k in range(7)]}}
-    hits = inverted.search(found, "", where=wanted, limit=None)
-    return hits.join(corpus(spark, sf_dir).join(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").filter("n_chars = 300 + doc_id % 7").select("id"), "id", "left_semi").select("id")
+    return inverted.search(found, "", where={"origin": {"in": ["src1", "src2"]}, "type": {"contains": "e"}, "size": {"contains": "1"}}, limit=None).select("id")
 
 
 @query("FLT_21_output_tags", "SELECT doc_id, concat_ws(',', lang, source, 'x') AS tags FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
@@ -352,21 +354,18 @@ def alias_resolution(spark, sf_dir):
 BUILT: dict[tuple[str, str], str] = {}  # folders of indexes that this process has built
 
 
-def postings_of(spark: SparkSession, sf_dir: str) -> inverted.Index:
+def postings_of(spark: SparkSession, sf_dir: str, stemming: bool = False) -> inverted.Index:
     """The index over titles and texts of the documents; built once for each session and folder."""
     docs = corpus(spark, sf_dir)
-    none = tag_rows(spark, sf_dir).limit(0), field_rows(spark, sf_dir).limit(0)
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, f"{sf_dir} {stemming}")
     if key not in BUILT:
         shared = spark.conf.get("spark.checkpoint.dir", None) or ("file://" + tempfile.mkdtemp(prefix="inkfold-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir"))
         path = f"{shared.rstrip('/')}/inkfold-index-{uuid.uuid4().hex}"
-        inverted.build(docs, *none, path, buckets=16)
+        inverted.build(docs, tag_rows(spark, sf_dir).limit(0), field_rows(spark, sf_dir).limit(0), path, stemming=stemming, buckets=16)
         BUILT[key] = path
-    out = inverted.opened(spark, BUILT[key], docs, tag_rows(spark, sf_dir), field_rows(spark, sf_dir), buckets=16)
-    return out
+    return inverted.opened(spark, BUILT[key], docs, tag_rows(spark, sf_dir), field_rows(spark, sf_dir), stemming=stemming, buckets=16)
 
 
-HAS = "list_contains(w, {!r})"
 TOKENS = f"(SELECT cast(doc_id AS VARCHAR) AS id, substr(text, 1, 40) AS title, lang AS type, source, {WORDS_OF.format("concat_ws(' ', substr(text, 1, 40), text)")} AS w, ' ' || array_to_string({WORDS_OF.format("coalesce(substr(text, 1, 40), '')")}, ' ') || ' ' AS a, ' ' || array_to_string({WORDS_OF.format("coalesce(text, '')")}, ' ') || ' ' AS b FROM documents)"
 for name, text, oracle, more in (
     ("SRCH_06_boolean", "the erent OR idiot AND NOT of", "(list_contains(w, 'the') AND list_contains(w, 'erent')) OR (list_contains(w, 'idiot') AND NOT list_contains(w, 'of'))", {}),
@@ -391,6 +390,16 @@ def filter_only(spark, sf_dir):
     return inverted.search(postings_of(spark, sf_dir), "", types=["fr"], limit=25).select("id", "title", "rank")
 
 
+@query("SRCH_06_stemmed", f"SELECT id FROM {TOKENS} WHERE list_has_any(w, ['idiot', 'idiots', 'idioted', 'idioting'])")
+def stemmed(spark, sf_dir):
+    return inverted.search(postings_of(spark, sf_dir, True), "idiots", limit=None).select("id")
+
+
+@query("SRCH_08_snippet")
+def snippets(spark, sf_dir):
+    return inverted.search(postings_of(spark, sf_dir), "idiot OR clown", limit=None, snippets=True).select("id", "snippet")
+
+
 @query("SRCH_07_bm25", ORACLES["SRCH_07_bm25"])
 def bm25(spark, sf_dir):
     return inverted.search(postings_of(spark, sf_dir), "idiot OR clown", limit=None).select("id", "title", "rank")
