@@ -26,7 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail the line rules go; the document stays if the rules keep it. n_chars is that of the text that is left.
 
     Null and empty texts, and very long ones without words, go; rows are judged one by one, so null or repeated ids, ties and repeated rows change nothing."""
-    judged = quality_rules.assess(docs).filter("quality.kept").select("doc_id", F.col("quality.clean").alias("clean"), "text", "lang", "source", "n_chars")
+    told = quality_rules.assess(docs).select(*COLUMNS, F.explode(F.array("quality")).alias("quality"))  # a filter is not moved below an explode, so rules are worked out once
+    judged = told.filter("quality.kept").select("doc_id", F.col("quality.clean").alias("clean"), "text", "lang", "source", "n_chars")
     n_chars = F.when(F.col("clean") == F.col("text"), F.col("n_chars")).otherwise(F.length("clean")).cast("long")
     return judged.select("doc_id", F.col("clean").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
