@@ -47,10 +47,34 @@ def duplicates(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.dropna(subset=columns).groupBy(*columns).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+# Rows of a range and ranges that rows are numbered in, about and at most, and keys that each range's bounds are taken from.
+ROWS_PER_RANGE, MOST_RANGES, KEYS_PER_RANGE = 10_000, 256, 16
+
+
+def range_of(rows: DataFrame, order: list[str]) -> Column:
+    """Number of the range that a row's key lies in, by bounds that are values in the plan: whatever runs the plan again, in whatever partitions, finds
+    the row in the same range. Bounds come from the keys whose hashes are least; how small these are tells how many rows there are, about."""
+    most = MOST_RANGES * KEYS_PER_RANGE
+    least = rows.select(*order, F.xxhash64(*order).alias("_hash")).orderBy("_hash").limit(most)
+    keys = least.orderBy(*order).collect()  # 4096 at most
+    greatest = max((k["_hash"] for k in keys), default=0)
+    about = len(keys) if len(keys) < most else most * 2**64 / (greatest + 2**63 + 1)
+    ranges = max(1, min(MOST_RANGES, round(about / ROWS_PER_RANGE)))
+    kinds = {c: rows.schema[c].dataType for c in order}
+    bounds = [F.struct(*(F.lit(keys[k * len(keys) // ranges][c]).cast(kinds[c]).alias(c) for c in order)) for k in range(1, ranges)]
+    key = F.struct(*order)
+
+    def found(low: int, high: int) -> Column:
+        middle = (low + high + 1) // 2
+        return F.lit(low) if low == high else F.when(key < bounds[middle - 1], found(low, middle - 1)).otherwise(found(middle, high))
+
+    return found(0, ranges - 1)
+
+
 def row_numbers(rows: DataFrame, order: list[str], column: str) -> DataFrame:
     """rows with numbers from 1 in an order that tells all of them apart: sorted ranges are numbered side by side, and each range
     goes on where those before it have ended. One row for each range meets in one task, nothing else."""
-    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parts = rows.withColumn("_part", range_of(rows, order))
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.select("_part", (F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_size")).alias("_before"))
     nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
