@@ -38,6 +38,7 @@ def test_few_rows_are_numbered(spark):
 @pytest.mark.parametrize("name", [
     "DML_03_next_per_partition",
     "DML_10_delete_cascade",
+    "DML_14_junction",
 ])
 def test_same_rows_in_small_partitions(spark, name):
     con = duckdb.connect()
