@@ -39,6 +39,7 @@ def test_few_rows_are_numbered(spark):
     "DML_03_next_per_partition",
     "DML_10_delete_cascade",
     "DML_14_junction",
+    "DML_17_batch_update",
 ])
 def test_same_rows_in_small_partitions(spark, name):
     con = duckdb.connect()
