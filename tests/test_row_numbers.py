@@ -41,6 +41,7 @@ def test_few_rows_are_numbered(spark):
     "DML_14_junction",
     "DML_17_batch_update",
     "DDL_02_05_alter",
+    "DDL_08_drop",
 ])
 def test_same_rows_in_small_partitions(spark, name):
     con = duckdb.connect()
