@@ -42,6 +42,7 @@ def test_few_rows_are_numbered(spark):
     "DML_17_batch_update",
     "DDL_02_05_alter",
     "DDL_08_drop",
+    "DML_01_insert",
 ])
 def test_same_rows_in_small_partitions(spark, name):
     con = duckdb.connect()
