@@ -44,6 +44,7 @@ def test_few_rows_are_numbered(spark):
     "DDL_08_drop",
     "DML_01_insert",
     "DML_02_on_conflict",
+    "DML_09_update",
 ])
 def test_same_rows_in_small_partitions(spark, name):
     con = duckdb.connect()
