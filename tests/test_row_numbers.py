@@ -45,6 +45,7 @@ def test_few_rows_are_numbered(spark):
     "DML_01_insert",
     "DML_02_on_conflict",
     "DML_09_update",
+    "DML_16_transactions",
 ])
 def test_same_rows_in_small_partitions(spark, name):
     con = duckdb.connect()
