@@ -181,20 +181,28 @@ def linked_pairs(links: DataFrame, docs: DataFrame, aliases: DataFrame) -> DataF
     return inbound(links, docs, aliases)
 
 
-def mentions(index: Index, links: DataFrame, aliases: DataFrame) -> DataFrame:
-    """source_id, id: documents that hold the words of another's title in a row and don't link to it. Of each title only the rarest word's
-    postings are joined; the places of its other words are then looked up for the pairs that are left."""
-    titles = index.docs.select("id", words(F.coalesce("title", F.lit(""))).alias("w")).filter("size(w) > 0")
-    parts = titles.select("id", F.posexplode(stems(F.col("w")) if index.stemming else F.col("w")).alias("at", "term"))
+def phrases(index: Index) -> tuple[DataFrame, DataFrame]:
+    """(id, phrase of each title with words; phrase, source_id of the documents that hold its words in a row). Titles alike are one phrase. Of each phrase
+    only the rarest word's postings are joined; the places of its other words are then looked up for the pairs that are left."""
+    own = words(F.coalesce("title", F.lit("")))
+    titles = index.docs.select("id", F.array_join(stems(own) if index.stemming else own, " ").alias("phrase")).filter("phrase <> ''")
+    wanted = titles.select("phrase").distinct().select("phrase", F.split("phrase", " ").alias("w"))
+    parts = wanted.select("phrase", F.posexplode("w").alias("at", "term"))
     often = index.postings.groupBy("term").agg(F.count("*").alias("n"))
-    rare = parts.join(often, "term").groupBy("id").agg(F.min_by("term", F.struct("n", "at")).alias("term"))
+    rare = parts.join(often, "term").groupBy("phrase").agg(F.min_by("term", F.struct("n", "at")).alias("term"))
     places = index.postings.select("term", F.col("id").alias("source_id"), "places")
-    pairs = rare.join(places.select("term", "source_id"), "term").filter("source_id <> id").select("id", "source_id")
-    pairs = pairs.join(linked_pairs(links, index.docs, aliases), ["source_id", "id"], "left_anti")
-    looked = pairs.join(parts, "id").join(places, ["term", "source_id"])
-    starts = looked.select("source_id", "id", F.explode(F.transform("places", lambda p: p - F.col("at"))).alias("start"), "at").distinct()
-    sizes = titles.select("id", F.size("w").alias("n"))
-    return starts.groupBy("source_id", "id", "start").agg(F.count("*").alias("m")).join(sizes, "id").filter("m = n").select("source_id", "id").distinct()
+    pairs = rare.join(places.select("term", "source_id"), "term").select("phrase", "source_id")
+    looked = pairs.join(parts, "phrase").join(places, ["term", "source_id"])
+    starts = looked.select("source_id", "phrase", F.explode(F.transform("places", lambda p: p - F.col("at"))).alias("start"), "at").distinct()
+    sizes = wanted.select("phrase", F.size("w").alias("n"))
+    return titles, starts.groupBy("source_id", "phrase", "start").agg(F.count("*").alias("m")).join(sizes, "phrase").filter("m = n").select("phrase", "source_id").distinct()
+
+
+def mentions(index: Index, links: DataFrame, aliases: DataFrame) -> DataFrame:
+    """source_id, id: documents that hold the words of another's title in a row and don't link to it."""
+    titles, hits = phrases(index)
+    pairs = titles.join(hits, "phrase").filter("source_id <> id").select("source_id", "id")
+    return pairs.join(linked_pairs(links, index.docs, aliases), ["source_id", "id"], "left_anti")
 
 
 def unlinked_mentions(index: Index, links: DataFrame, aliases: DataFrame, id_: str) -> DataFrame:
@@ -209,8 +217,15 @@ def unlinked_mentions(index: Index, links: DataFrame, aliases: DataFrame, id_: s
 
 
 def mention_counts(index: Index, links: DataFrame, aliases: DataFrame) -> DataFrame:
-    """id, mentions of every document that is mentioned without a link."""
-    return mentions(index, links, aliases).groupBy("id").agg(F.count("*").alias("mentions")).orderBy("id")
+    """id, mentions of every document that is mentioned without a link. Pairs are not made: documents that hold a phrase are counted once for all
+    titles alike, less the document itself and those that link to it."""
+    titles, hits = phrases(index)
+    holding = hits.groupBy("phrase").agg(F.count("*").alias("n"))
+    own = titles.select(F.col("id").alias("source_id"), "id")
+    apart = linked_pairs(links, index.docs, aliases).select("source_id", "id").unionByName(own).distinct()
+    less = apart.join(titles, "id").join(hits, ["phrase", "source_id"], "left_semi").groupBy("id").agg(F.count("*").alias("less"))
+    counts = titles.join(holding, "phrase").join(less, "id", "left").select("id", (F.col("n") - F.coalesce("less", F.lit(0))).alias("mentions"))
+    return counts.filter("mentions > 0").orderBy("id")
 
 
 def content_scores(index: Index, id_: str, most: int = 50) -> DataFrame:
